@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op9_benchmark_decontamination
+from .licenses import op5_license_scan
 from .packing import op2_best_fit_packing
 from .ppm import op7_lm_scoring
+from .secrets import op6_secret_scan
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
+    "op6_secret_scan": op6_secret_scan,
     "op7_lm_scoring": op7_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
