@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op9_benchmark_decontamination
 from .licenses import op5_license_scan
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op2_best_fit_packing
 from .ppm import op7_lm_scoring
 from .secrets import op6_secret_scan
@@ -16,10 +17,11 @@ from .toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_lm_scoring": op7_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
