@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op9_benchmark_decontamination
+from .embeddings import op10_embedding_near_dedup
+from .jaccard import op4_ngram_jaccard_join
 from .licenses import op5_license_scan
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op2_best_fit_packing
@@ -18,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_lm_scoring": op7_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
