@@ -2,7 +2,7 @@
 
 Every text is lower-cased, put between spaces, and turned into the set of its hashed character n-grams. How many toxic and
 clean training documents have each n-gram is counted over all training rows, in Spark; the log ratio of the smoothed shares
-is the feature's value, and n-grams whose ratio is no further from zero than chance are dropped. A logistic regression over
+is the feature's value, and n-grams whose ratio is no further from zero than chance, or than `min_ratio`, are dropped. A logistic regression over
 those values is fitted on the driver on a bounded sample of the training rows (`max_fit_rows`, chosen by hash of the id).
 Scoring is one pass over the documents: the weights are one array of fixed size.
 """
@@ -93,7 +93,7 @@ def _regression(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label:
     return w, bias
 
 
-def fit(labelled: DataFrame, *, max_fit_rows: int = 20_000, min_docs: int = 5, min_z: float = 4.0, smooth: float = 1.0) -> Model:
+def fit(labelled: DataFrame, *, max_fit_rows: int = 20_000, min_docs: int = 5, min_z: float = 4.0, min_ratio: float = 1.0, smooth: float = 1.0) -> Model:
     """labelled: id, text, label (0 or 1). Without rows of both labels the model gives every text the share of label 1 (at most 0.49 if there is none)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ def fit(labelled: DataFrame, *, max_fit_rows: int = 20_000, min_docs: int = 5, m
     counted = labelled.select("text", "label").mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + smooth) / (toxic + 2 * smooth)) - F.log((F.col("clean") + smooth) / (clean + 2 * smooth))
     spread = F.sqrt(1 / (F.col("toxic") + smooth) + 1 / (F.col("clean") + smooth))
-    rows = counted.where(F.col("toxic") + F.col("clean") >= min_docs).select("bucket", ratio.alias("r"), spread.alias("s")).where(F.abs("r") >= min_z * F.col("s")).select("bucket", "r").toArrow()  # at most 2 ** BITS rows
+    rows = counted.where(F.col("toxic") + F.col("clean") >= min_docs).select("bucket", ratio.alias("r"), spread.alias("s")).where(F.abs("r") >= F.greatest(min_z * F.col("s"), F.lit(min_ratio))).select("bucket", "r").toArrow()  # at most 2 ** BITS rows
     ratios = np.zeros(1 << BITS)
     ratios[rows.column("bucket").to_numpy()] = rows.column("r").to_numpy()
     keep = ratios != 0
