@@ -10,10 +10,10 @@ and a larger one is refused, not cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -144,38 +144,34 @@ def load_items(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str =
     return {(i, k): seq for i, texts in items.items() for k, seq in enumerate(texts)}
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_coverage: float = 0.05, max_span: int | None = None, with_text: bool = False) -> DataFrame:
-    """One row for each document (repeated rows each have theirs): n_words, n_hit, longest_span, n_items, items (their ids as
-    sorted strings), spans (of words, [start, end)), contaminated (hit words are at least `min_coverage` of all, or a span has
+def contamination(benchmark: DataFrame, *, window: int = WINDOW, min_coverage: float = 0.05, max_span: int | None = None, with_text: bool = False) -> Callable[[Column], Column]:
+    """A function over text columns, for one row a document: a struct of n_words, n_hit, longest_span, n_items, items (their ids
+    as sorted strings), spans (of words, [start, end)), contaminated (hit words are at least `min_coverage` of all, or a span has
     more than `max_span` words), and with `with_text` cleaned_text: the text without its hit words if contaminated, else as it was.
 
     A null or empty text has no words and is clean. An empty benchmark leaves every document clean.
     """
-    items = load_items(benchmark)
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, longest_span long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean, cleaned_text string"
+    shared = benchmark.sparkSession.sparkContext.broadcast(Automaton(load_items(benchmark), window))
     share = round(1 / min_coverage)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                text = text.as_py()
-                seq = words(text)
-                spans, found = automaton.scan(seq)
-                hit, longest = sum(b - a for a, b in spans), max((b - a for a, b in spans), default=0)
-                ids = sorted({i for i, _ in found})
-                bad = hit > 0 and (share * hit >= len(seq) or max_span is not None and longest > max_span)
-                cleaned = without_words(text, spans) if bad and with_text else text if with_text else None
-                rows.append((len(seq), hit, longest, len(ids), ids, [{"start": a, "end": b} for a, b in spans], bad, cleaned))
-            cols = zip(*rows, strict=True) if rows else [()] * 8
-            types = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.bool_(), pa.string()]
-            arrays = [batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "n_hit", "longest_span", "n_items", "items", "spans", "contaminated", "cleaned_text"])
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    fields = {"n_words": pa.int64(), "n_hit": pa.int64(), "longest_span": pa.int64(), "n_items": pa.int64(), "items": pa.list_(pa.string()), "spans": spans_type, "contaminated": pa.bool_(), "cleaned_text": pa.string()}
+
+    @F.arrow_udf("n_words long, n_hit long, longest_span long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean, cleaned_text string")
+    def scan(texts: pa.Array) -> pa.Array:
+        automaton, rows = shared.value, []
+        for text in texts:
+            text = text.as_py()
+            seq = words(text)
+            spans, found = automaton.scan(seq)
+            hit, longest = sum(b - a for a, b in spans), max((b - a for a, b in spans), default=0)
+            ids = sorted({i for i, _ in found})
+            bad = hit > 0 and (share * hit >= len(seq) or max_span is not None and longest > max_span)
+            cleaned = without_words(text, spans) if bad and with_text else text if with_text else None
+            rows.append((len(seq), hit, longest, len(ids), ids, [{"start": a, "end": b} for a, b in spans], bad, cleaned))
+        columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+        return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
+
+    return scan
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -195,5 +191,6 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    scan = contamination(table(spark, sf_dir, "benchmark"))
+    found = table(spark, sf_dir, "documents").select("doc_id", scan("text").alias("found")).select("doc_id", "found.*")
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")

@@ -14,6 +14,7 @@ from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op2_best_fit_packing
 from .ppm import op7_lm_scoring
 from .secrets import op6_secret_scan
+from .token_counts import op8_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
