@@ -38,3 +38,12 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
 def lower_ascii(text: str | Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows up to which a settled table of a few numbers a row is broadcast.
+SMALL = 250_000
+
+
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows (counted, so give settled tables); a larger one is joined by shuffles."""
+    return F.broadcast(df) if df.count() <= most else df

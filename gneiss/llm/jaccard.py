@@ -7,9 +7,9 @@ tenth more than the most differences d that a link there allows. A differing shi
 agree in at least P - d words: they meet in a bucket (band, word's place, word).
 
 Buckets are not expanded into pairs. Hubs first: each bucket's smallest class, then its largest, then another one, is held
-against those of its members that are not yet known to be connected to it; groups of near copies are joined by that. What
-then remains in one bucket but in different components is compared sketch by sketch in tiles of bounded size. Every pair that
-passes the sketches is verified on the whole sets.
+against those of its members that are not yet known to be connected to it; groups of near copies are joined by that. A hub is
+then through with its bucket, and so is a bucket whose members are all connected. What remains is compared sketch by sketch in
+tiles of bounded size. Every pair that passes the sketches is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import if_small, settle, table
 from .components import components
 
 TILE = 256
@@ -161,7 +161,8 @@ def _bucket_rows(classes: DataFrame, threshold: Fraction) -> DataFrame:
     zeros = F.size("sketch") - F.size(F.array_remove("sketch", 0))
     each = each.withColumn("needed", zeros >= F.size("sketch") - F.get(most, F.col("band")))
     words = each.select("cls", "band", "needed", F.posexplode("sketch").alias("place", "word")).where("needed or word != 0")
-    return words.select(F.xxhash64("band", "place", "word").alias("bucket"), "cls")
+    bucket = F.shiftrightunsigned(F.xxhash64("band", "place", "word"), 20)  # 44 bits; buckets that fall together only cost a look
+    return words.select(bucket.alias("bucket"), "cls")
 
 
 def _similar(a: str, b: str, threshold: Fraction) -> Column:
@@ -174,11 +175,12 @@ def _similar(a: str, b: str, threshold: Fraction) -> Column:
     return (q * F.least(n, m) >= p * F.greatest(n, m)) & (F.abs(F.col(f"{a}.band") - F.col(f"{b}.band")) <= 1) & (apart * (p + q) <= (n + m) * (q - p))
 
 
-def _hub_pairs(members: DataFrame, sketches: DataFrame, hub: Column, threshold: Fraction) -> DataFrame:
+def _hub_pairs(members: DataFrame, hubs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: each bucket's hub with those of its members that lie in other components, if their sketches allow a link."""
-    hubs = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), hub.alias("h")).where("least != most").select("bucket", "h.*")
     pairs = members.join(hubs, "bucket").where("cls != hub and component != hub_component").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    return pairs.join(sketches.alias("x"), F.col("a") == F.col("x.cls")).join(sketches.alias("y"), F.col("b") == F.col("y.cls")).where(_similar("x", "y", threshold)).select("a", "b")
+    pairs = if_small(settle(pairs, "hubs"))
+    one = pairs.join(sketches.select("cls", "n", "band", "own", "up").alias("x"), F.col("a") == F.col("x.cls"))
+    return one.join(sketches.alias("y"), F.col("b") == F.col("y.cls")).where(_similar("x", "y", threshold)).select("a", "b")
 
 
 def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -232,7 +234,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fractio
     needed = dealt.select("a", "part", "b").union(dealt.select("a", "part", F.col("a").alias("b")).distinct())
     lots = max(1, pairs.count() // 64)  # small groups share a lot
     lot = F.pmod(F.xxhash64("a", "part"), F.lit(lots)).alias("lot")
-    full = needed.join(texts, needed["b"] == texts["cls"]).select("a", "part", "b", "text", lot)
+    needed = if_small(settle(needed, "needed"))
+    full = needed.join(texts, F.col("b") == F.col("cls")).select("a", "part", "b", "text", lot)
 
     def verify(t: pa.Table) -> pa.Table:
         group = list(zip(t.column("a").to_pylist(), t.column("part").to_pylist(), strict=True))
@@ -256,45 +259,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fractio
 
 
 def similar_components(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: the id, n_shingles, component_id (the smallest id reachable by links, its own included).
+    """One row for each document: the id, n_shingles, component_id (the smallest id reachable by links, its own included),
+    text_hash (xxhash64 of the text), and representative: whether the row is its component's first by id and text.
 
     Texts without words, and null texts, have an empty set and are their own component. Rows with equal sets are linked; a row
     with a null id takes part, and its component_id is the smallest id there is in its component, or null.
     """
     share = Fraction(str(threshold))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = settle(sketch_documents(docs.select(F.struct("id", F.xxhash64("text").alias("h")).alias("key"), "text"), width=width, threshold=share, id_col="key"), "sketches")
-    classes = rows.where("n > 0").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "band", "own", "up")])
-    bucketed = _bucket_rows(classes, share)
-    dealt = bucketed.repartition("bucket")  # the two below share this exchange
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    rows = settle(sketch_documents(hashed.select(F.struct("id", "h").alias("key"), "text"), width=width, threshold=share, id_col="key"), "sketches")
+    rows = rows.select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), "n", F.col("cls").alias("set"), "band", "own", "up")
+    parts = ("n", "band", "own", "up")
+    # Classes are numbered: numbers are smaller in shuffles than hashes. The same number follows a set everywhere.
+    numbered = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("one"), *[F.first(c).alias(c) for c in parts])
+    classes = settle(numbered.select("set", "one", F.monotonically_increasing_id().alias("cls"), *parts), "classes")
+    dealt = _bucket_rows(classes, share).repartition("bucket")  # the two below share this exchange
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = settle(dealt.join(shared, "bucket", "left_semi"), "members")
-    involved = members.select("cls").distinct()
-    sketches = settle(rows.join(involved, "cls", "left_semi").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "band", "own", "up")]), "involved")
-
-    keyed = rows.where("n > 0").select("cls", F.col("id.id").alias("id"), F.col("id.h").alias("h"))
-    first = keyed.join(involved, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id", "h")).alias("one"))
-    texts = docs.withColumn("h", F.xxhash64("text")).alias("d").join(first.alias("f"), F.col("d.id").eqNullSafe(F.col("one.id")) & (F.col("d.h") == F.col("one.h"))).select("cls", "text").dropDuplicates(["cls"])
-    texts = settle(texts, "texts")
+    involved = if_small(settle(members.select("cls").distinct(), "involved"))
+    sketches = classes.join(involved, "cls", "left_semi")
+    first = if_small(settle(sketches.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")), "firsts"))
+    texts = settle(hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text"), "texts")
+    sketches = sketches.select("cls", *parts)
 
+    named, links, joined = members.withColumn("component", F.col("cls")), None, None
     pick = F.struct(F.col("cls").alias("hub"), F.col("component").alias("hub_component"))
-    named, links, found_components = members.withColumn("component", F.col("cls")), None, None
     for hub in (F.min(pick), F.max(pick), F.min_by(pick, F.xxhash64("cls", F.lit(7))), None):
-        pairs = settle(_tile_pairs(named, sketches, share) if hub is None else _hub_pairs(named, sketches, hub, share), "pairs")
+        if hub is None:
+            pairs = settle(_tile_pairs(named, sketches, share), "pairs")
+        else:
+            hubs = settle(named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), hub.alias("h")).where("least != most").select("bucket", "h.*"), "hub")
+            pairs = settle(_hub_pairs(named, hubs, sketches, share), "pairs")
+            named = named.join(hubs.select("bucket", F.col("hub").alias("cls")), ["bucket", "cls"], "left_anti")
         found = settle(_verified(pairs, texts, width, share), "verified")
         links = found if links is None else links.union(found)
-        found_components = components(links)
-        named = named.drop("component").join(found_components, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
+        joined = components(links)
+        named = named.drop("component").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
         open_ = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("bucket")
         named = settle(named.join(open_, "bucket", "left_semi"), "open")  # the buckets whose members are not all connected yet
         if named.isEmpty():
             break
-    of_class = found_components
-    own = rows.select(F.col("id.id").alias("id"), "n", "cls").join(of_class, F.col("cls") == F.col("node"), "left").select("id", "n", F.coalesce("component", "cls").alias("component"))
-    least = own.groupBy("component").agg(F.min("id").alias("least"))
-    joined = own.join(least, "component", "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    of_set = classes.select("set", "cls", "one").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("set", "one", F.coalesce("component", "cls").alias("component"))
+    head = of_set.groupBy("component").agg(F.min("one").alias("head"), F.min("one.id").alias("least"))
+    of_set = settle(of_set.join(head, "component").select("set", "head", "least"), "sets")
+    out = rows.select("id", "h", "n", "set").join(of_set, "set", "left")
+    own = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.col("h").alias("text_hash"), F.when(F.col("n") > 0, own.eqNullSafe(F.col("head"))).otherwise(True).alias("representative"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"), width=3, threshold=0.9)
+    found = similar_components(table(spark, sf_dir, "documents"), width=3, threshold=0.9)
+    return found.select("doc_id", "n_shingles", "component_id")
