@@ -193,34 +193,42 @@ def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) ->
     dealt = dealt.select("bucket", "cls", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
 
     def compare(t: pa.Table) -> pa.Table:
+        bucket, i, j = (t.column(c).to_numpy() for c in ("bucket", "i", "j"))
+        order = np.lexsort((j, i, bucket))
+        bucket, i, j = bucket[order], i[order], j[order]
+        t = t.take(pa.array(order))
         cls, component, tile, n, band = (t.column(c).to_numpy() for c in ("cls", "component", "tile", "n", "band"))
         own, up = ([np.array(x or (), dtype=np.int64) for x in t.column(c).to_pylist()] for c in ("own", "up"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        out: list[tuple[int, int]] = []
-        by_band: dict[int, list[int]] = {}
-        for k, x in enumerate(band.tolist()):
-            by_band.setdefault(x, []).append(k)
-        for low, rows in by_band.items():
-            for high in (low, low + 1):
-                columns = np.array(by_band.get(high, ()), dtype=np.int64)
-                if not len(columns):
-                    continue
-                right = np.stack([own[c] for c in columns])
-                for r in rows:
-                    left = own[r] if low == high else up[r]
-                    if not len(left):
+        out: set[tuple[int, int]] = set()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket) | np.diff(i) | np.diff(j)) + 1).tolist(), len(bucket)]
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            by_band: dict[int, list[int]] = {}
+            for k in range(first, last):
+                by_band.setdefault(int(band[k]), []).append(k)
+            for low, rows in by_band.items():
+                for high in (low, low + 1):
+                    columns = np.array(by_band.get(high, ()), dtype=np.int64)
+                    if not len(columns):
                         continue
-                    ok = (component[columns] != component[r]) & (cls[columns] != cls[r]) & (q * np.minimum(n[columns], n[r]) >= p * np.maximum(n[columns], n[r]))
-                    if i != j:
-                        ok &= tile[columns] != tile[r]
-                    c = columns[ok]
-                    apart = np.bitwise_count((right[ok] ^ left).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    out += [(int(cls[r]), int(cls[x])) for x in c[apart * (p + q) <= (n[c] + n[r]) * (q - p)]]
+                    right = np.stack([own[c] for c in columns])
+                    for r in rows:
+                        left = own[r] if low == high else up[r]
+                        if not len(left):
+                            continue
+                        ok = (component[columns] != component[r]) & (cls[columns] != cls[r]) & (q * np.minimum(n[columns], n[r]) >= p * np.maximum(n[columns], n[r]))
+                        if i[r] != j[r]:
+                            ok &= tile[columns] != tile[r]
+                        c = columns[ok]
+                        apart = np.bitwise_count((right[ok] ^ left).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                        for x in cls[c[apart * (p + q) <= (n[c] + n[r]) * (q - p)]].tolist():
+                            out.add((min(int(cls[r]), x), max(int(cls[r]), x)))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = dealt.join(sketches, "cls").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = settle(dealt, "tiles")
+    lots = max(1, dealt.count() // (2 * TILE))  # small buckets share a lot
+    found = dealt.withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots))).join(sketches, "cls").groupBy("lot").applyInArrow(compare, "a long, b long")
+    return found.distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
