@@ -77,7 +77,7 @@ def preview(c: Column, limit: int) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Parts between blank lines, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != "")
 
 
 def sentences(c: Column) -> Column:

@@ -168,7 +168,7 @@ ORACLES = {
     "line_explode": "SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) AS n_blank, max(length(line)) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id",
     "repeated_lines": f"SELECT doc_id, key, count(*) AS n, array_to_string(list_sort(list(pos))[1:10], ',') AS lines FROM (SELECT doc_id, {_fold('line')} AS key, pos FROM (SELECT doc_id, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) WHERE length(key) BETWEEN 4 AND 120 GROUP BY ALL HAVING count(*) >= 3",
     "ocr_flags": r"SELECT doc_id, contains(text, chr(65533)) AS has_replacement, regexp_matches(text, 'Ã[\x{80}-\x{bf}]') AS has_mojibake, regexp_matches(text, '[a-z][0-9]|[0-9][a-z]') AS has_letter_digit, regexp_matches(text, '[#$%&*]{3}') AS has_symbol_run, regexp_matches(text, '[a-z][A-Z]') AS has_joined_words FROM documents",
-    "paragraph_lengths": r"SELECT doc_id, count(*) AS n_paragraphs, sum(length(p)) AS n_chars, max(length(p)) AS longest FROM (SELECT doc_id, trim(unnest(string_split_regex(text, '\n\s*\n'))) AS p FROM documents) WHERE p <> '' GROUP BY doc_id",
+    "paragraph_lengths": r"SELECT doc_id, count(*) AS n_paragraphs, sum(length(p)) AS n_chars, max(length(p)) AS longest FROM (SELECT doc_id, trim(unnest(string_split_regex(text, '\n\s*\n')), chr(32) || chr(9) || chr(10) || chr(13)) AS p FROM documents) WHERE p <> '' GROUP BY doc_id",
     "bm25_fit": f"WITH {_POSTED} SELECT token, df, round(idf, 6) AS idf FROM terms",
     "bm25_doc_weights": f"WITH {_POSTED} SELECT doc_id, count(*) AS n_terms, round(sum(w), 4) AS weight_sum, round(max(w), 4) AS weight_max FROM (SELECT doc_id, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS w FROM posted JOIN terms USING (token) JOIN dl USING (doc_id), st) GROUP BY doc_id",
     "bm25_topk": f"WITH {_BM25} SELECT item_id, rank, doc_id, round(score, 3) AS score FROM bm WHERE rank <= 10",

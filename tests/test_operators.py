@@ -90,3 +90,38 @@ def test_sources(spark, tmp_path):
     assert [r["name"] for r in tables.missing_files(spark, found, ["a", "b"]).collect()] == ["b"]
     tables.write_records(c, str(tmp_path / "out"))
     assert tables.read_records(spark, str(tmp_path / "out"), "path string, title string, text string").count() == 3
+
+
+def test_containment_and_quotes(spark, sf):
+    import re
+
+    from gneiss.operators.containment import contained
+    from gneiss.registry import QUERIES
+
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    asked = {r["item_id"]: r["text"] for r in items.collect()}
+    got = {(r["item_id"], r["doc_id"]) for r in contained(docs, items, "doc_id", "item_id").collect()}
+    assert got == {(i, k) for i, p in asked.items() for k, t in texts.items() if p in t}
+    assert contained(docs, items.limit(0), "doc_id", "item_id").count() == 0
+    quotes = {r["item_id"]: (r["n_quotes"], r["n_supported"]) for r in QUERIES["quote_support"](spark, sf).collect()}
+    for i, p in asked.items():
+        own = [q for q in re.split(r"(?<=[.])\s+", p) if len(q) >= 8]
+        if own:
+            assert quotes[i] == (len(own), sum(any(q in t for t in texts.values()) for q in own))
+
+
+def test_chunks_against_a_loop(spark, sf):
+    from gneiss.registry import QUERIES
+
+    got = {}
+    for r in QUERIES["chunk_pack"](spark, sf).collect():
+        got.setdefault(r["doc_id"], {})[r["n"]] = r["n_chars"]
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        chunks = []
+        for unit in filter(None, (x.strip(" ") for x in r["text"].split("\n"))):
+            if chunks and len(chunks[-1]) + 1 + len(unit) <= 1200:
+                chunks[-1] += "\n" + unit
+            else:
+                chunks.append(unit)
+        assert [got.get(r["doc_id"], {}).get(n) for n in range(len(chunks))] == [len(c) for c in chunks]
