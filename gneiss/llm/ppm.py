@@ -5,11 +5,13 @@ has not seen is coded by escapes (method C) to shorter contexts, in which the sy
 the end every byte not yet excluded is equally likely. As the trie is fixed when texts are scored, exclusion depends on the
 context alone, so what is left of a context after an escape is worked out once a context, and scoring is lookups.
 
-A context's symbol stays in the trie if it makes up `min_share` of all training bytes, so no order has more than 1 /
-min_share entries, whatever the corpus: that bounds what is sent to the executors.
+Every context that the training texts have stays, with all its symbols. A byte's probability depends on the byte and the
+`ORDER` before it alone, so it is worked out once for each distinct string of ORDER + 1 bytes. The strings are dealt by the
+two bytes before the last: all that orders 2 and up say of a string then lies in its part, however large the corpus is, and
+only the counts of orders 0 and 1 (at most 256 + 256 ** 2) are sent to every part.
 
 Texts are dealt into blocks of `block_bytes`. A block sends each of its distinct words and byte strings once, so a frequent
-word costs a row a block and not a row a document; counts come back to the blocks the same way.
+word costs a row a block and not a row a document; counts and probabilities come back to the blocks the same way.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,8 @@ from .common import fold, settle, table
 
 ORDER = 4
 BLOCK_BYTES = 8 << 20
-MIN_SHARE = 5e-7
+#: Distinct byte strings a part, on average.
+PART_GRAMS = 250_000
 END = b""
 
 
@@ -149,7 +153,7 @@ def _texts(t: pa.Table, column: str) -> list[bytes]:
 
 
 def _count_block(t: pa.Table) -> pa.Table:
-    """A block's distinct words (kind 0) with their training counts, and its training texts' byte strings (kind 1)."""
+    """A block's distinct words (kind 0) and byte strings (kind 1) with their training counts, 0 for those of held-out texts alone."""
     texts, held = _texts(t, "text"), t.column("held_out").to_pylist()
     words: Counter[bytes] = Counter({END: 0})
     for text, out in zip(texts, held, strict=True):
@@ -160,9 +164,13 @@ def _count_block(t: pa.Table) -> pa.Table:
         else:
             words.update(own)
             words[END] += 1
-    data, start, length = _buffer([x for x, out in zip(texts, held, strict=True) if not out])
+    data, start, length = _buffer(texts)
     grams = _grams(data)
-    found, n = np.unique(grams[_inside(start, length, len(grams))], return_counts=True)
+    marked = (grams[_inside(start, length, len(grams))] << np.uint64(1)) | np.repeat(np.array(held, dtype=np.uint64), length)
+    marked, n = np.unique(marked, return_counts=True)
+    n[marked & np.uint64(1) == 1] = 0
+    found, first = np.unique(marked >> np.uint64(1), return_index=True)
+    n = np.add.reduceat(n, first) if len(first) else n
     block = t.column("block")[0].as_py()
     n_words = len(words)
     return pa.table({
@@ -174,23 +182,34 @@ def _count_block(t: pa.Table) -> pa.Table:
     })
 
 
-def fit_trie(grams: DataFrame, min_share: float = MIN_SHARE) -> Trie:
-    """The trie over (gram, n) rows. At most 1 / min_share entries of each order come to the driver."""
-    longest = settle(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    floor = min_share * (longest.agg(F.sum("n")).first()[0] or 0)
-    masked = [F.struct(F.lit(k).alias("order"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")) for k in range(ORDER + 1)]
-    each = longest.select(F.explode(F.array(*masked)).alias("x"), "n").groupBy("x.order", "x.gram").agg(F.sum("n").alias("n"))
-    kept = each.where(F.col("n") >= floor).toArrow()
-    order, key, n = (kept.column(c).to_numpy() for c in ("order", "gram", "n"))
-    counts = []
-    for k in range(ORDER + 1):
-        own, sizes = key[order == k].astype(np.uint64), n[order == k]
-        by = np.argsort(own)
-        counts.append((own[by], sizes[by]))
-    return Trie(counts)
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of n of each."""
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, np.bincount(inverse, n, len(found)).astype(np.int64)
+
+
+def gram_scores(grams: DataFrame, part_grams: int = PART_GRAMS) -> DataFrame:
+    """gram, log10: the log10 probability of the last byte of each distinct gram of (gram, n) rows, under the model of all their counts."""
+    totals = settle(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    pairs = totals.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** 2 rows
+    one = _sums(pairs.column("gram").to_numpy().astype(np.uint64), pairs.column("n").to_numpy())
+    low = [_sums(one[0] & Trie._mask(1), one[1]), one]
+
+    def score(batches):
+        t = pa.Table.from_batches(batches, pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
+        if not t.num_rows:
+            return
+        asked, n = t.column("gram").to_numpy().astype(np.uint64), t.column("n").to_numpy()
+        own, sizes = asked[n > 0], n[n > 0]
+        trie = Trie(low + [_sums(own & Trie._mask(k + 1), sizes) for k in range(2, ORDER + 1)])
+        yield from pa.table({"gram": t.column("gram"), "log10": trie.log10(asked)}).to_batches(max_chunksize=1 << 16)
+
+    parts = max(1, ceil(totals.count() / part_grams))
+    dealt = totals.repartition(parts, F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+    return dealt.mapInArrow(score, "gram long, log10 double")
 
 
-def score_documents(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, min_share: float = MIN_SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
     """One row for each document (repeated rows each have theirs): held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes. `held_out` is a Boolean column over docs; documents where it isn't true are learnt from.
 
@@ -202,15 +221,19 @@ def score_documents(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_c
     n_blocks = max(1, ceil(size / block_bytes))
     own = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
     counted = settle(own.groupBy("block").applyInArrow(_count_block, "kind byte, block int, word binary, gram long, n long"), "counts")
-    trie = docs.sparkSession.sparkContext.broadcast(fit_trie(counted.where("kind = 1").select("gram", "n"), min_share))
+    held = counted.where("kind = 1").select("block", "gram", "n")
+    scores = held.select("block", "gram").join(gram_scores(held.select("gram", "n"), part_grams).hint("shuffle_hash"), "gram")
 
     same = Window.partitionBy("word")
     known = counted.where("kind = 0").select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first"))
+    known = known.unionByName(scores.select("block", "gram", "log10"), allowMissingColumns=True)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, log_counts double, score double, n_bytes long, n_distinct long, n_total long"
 
     def score_block(docs_: pa.Table, known_: pa.Table) -> pa.Table:
         texts = _texts(docs_, "text")
+        rated = known_.filter(pc.is_valid(known_.column("gram")))
+        known_ = known_.filter(pc.is_null(known_.column("gram")))
         words, c = known_.column("word").to_pylist(), known_.column("c").to_numpy()
         logs = dict(zip(words, np.log10(c + 1.0).tolist(), strict=True))
         new = {w for w, n in zip(words, c.tolist(), strict=True) if not n}
@@ -221,7 +244,10 @@ def score_documents(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_c
         data, start, length = _buffer(texts)
         upto = np.zeros(len(data) + 1)
         if len(grams := _grams(data)):
-            np.cumsum(np.where(_inside(start, length, len(grams)), trie.value.log10(grams), 0.0), out=upto[ORDER + 1 :])
+            inside = _inside(start, length, len(grams))
+            logs_at = np.zeros(len(grams))
+            logs_at[inside] = rated.column("log10").to_numpy()[Lookup(rated.column("gram").to_numpy().astype(np.uint64)).find(grams[inside])]
+            np.cumsum(logs_at, out=upto[ORDER + 1 :])
         tokens, n_known, log_counts = zip(*rows, strict=True) if rows else ((), (), ())
         first = known_.column("first").to_numpy(zero_copy_only=False).astype(bool) & (c > 0)
         out = {

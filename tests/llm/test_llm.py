@@ -272,6 +272,40 @@ def test_lm_scores(spark, odd, empty):
     assert ppm.score_documents(empty, F.lit(False)).count() == 0
 
 
+def test_lm_scores_keep_rare_contexts(spark):
+    """On more than 6 million training bytes, contexts seen once or twice count, and escapes come from all symbols seen."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefgh ", dtype=np.uint8)
+    texts = {i: letters[rng.integers(0, 9, 100_000)].tobytes().decode() for i in range(64)}
+    texts |= {70: "zebra qab", 71: "zebra", 80: "zebra qab abc zeh", 81: "qqq \u00e9"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ppm.score_documents(df, F.col("doc_id") >= 80, part_grams=9000).where("held_out").collect()}
+    train = [bytes(ppm.ORDER) + t.encode() for i, t in texts.items() if i < 80]
+    seen = {}
+
+    def symbols(context):
+        if context not in seen:
+            find = re.compile(b"(?=" + re.escape(context) + b"(.))", re.DOTALL)
+            seen[context] = collections.Counter(m[1] for p in train for m in find.finditer(p, ppm.ORDER - len(context)))
+        return seen[context]
+
+    def log10(p, at):
+        out, excluded = 0.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            left = {s: n for s, n in symbols(p[at - k : at]).items() if s not in excluded}
+            if left:
+                size = sum(left.values()) + len(left)
+                if p[at : at + 1] in left:
+                    return out + math.log10(left[p[at : at + 1]] / size)
+                out += math.log10(len(left) / size)
+                excluded |= set(left)
+        return out - math.log10(256 - len(excluded))
+
+    for i in (80, 81):
+        p = bytes(ppm.ORDER) + texts[i].encode()
+        assert math.isclose(got[i], sum(log10(p, at) for at in range(ppm.ORDER, len(p))), rel_tol=1e-9)
+
+
 def test_token_counts(spark, sf, odd, empty, tmp_path):
     rng, expected = np.random.default_rng(0), []
     for k in range(4):
