@@ -38,10 +38,21 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that the vocabulary in `path` adds beside its pieces, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", ())}
+
+
 class Encoder:
-    """Ids of whole texts; keeps the ids of up to `most` parts, and starts anew when there are more."""
+    """Ids of whole texts; keeps the ids of up to `most` parts, and starts anew when there are more.
 
-    def __init__(self, path: str = VOCABULARY, most: int = 500_000):
+    With `added`, an added token's string in a text has that token's id, as in tokenizers by default; else it is ordinary text.
+    """
+
+    def __init__(self, path: str = VOCABULARY, most: int = 500_000, added: bool = False):
+        self.added = {x: np.array([i], dtype="<u4").tobytes() for x, i in added_tokens(path).items()} if added else {}
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")  # the longest first
         self.encode, self.most = encoding(path).encode_to_numpy, most
         pieces = encoding(path)
         self.n_bytes = np.array([len(pieces.decode_single_token_bytes(i)) for i in range(pieces.max_token_value + 1)], dtype=np.int64)
@@ -49,6 +60,11 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """All ids of a text, as little-endian unsigned 32-bit numbers."""
+        if self.added and self.cut_added.search(text):
+            return b"".join(self.added.get(x) or self._plain_ids(x) for x in self.cut_added.split(text) if x)
+        return self._plain_ids(text)
+
+    def _plain_ids(self, text: str) -> bytes:
         parts = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
         if len(self.known) > self.most:
             self.known.clear()
@@ -76,7 +92,7 @@ class Encoder:
         return raw[: cuts[0]]
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One cache for each Python worker."""
-    return Encoder(path)
+@lru_cache(maxsize=2)
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One cache for each Python worker and kind."""
+    return Encoder(path, added=added)

@@ -38,14 +38,15 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each document: the id, piece, start, length, ids_crc32 (and ids as bytes), task, local_rank.
 
-    A null text counts as empty (one piece: the end id); repeated rows and null ids are documents of their own. local_rank
+    A null text counts as empty (one piece: the end id); repeated rows and null ids are documents of their own. An added
+    token's string in a text has that token's id. local_rank
     numbers the pieces of one length within a task, from 0.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, task int, local_rank long" + ", ids binary" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, task = encoder(vocabulary, added=True), TaskContext.get().partitionId()
         end, seen = np.array([end_id], dtype="<u4").tobytes(), defaultdict(int)
         for batch in batches:
             rows: list[tuple] = []

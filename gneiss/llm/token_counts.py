@@ -38,7 +38,8 @@ def read_token_files(spark: SparkSession, path: str, *, token_bytes: int = 2, bl
 def write_token_stream(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """Tokenises documents into one flat stream a task, each document followed by the separator, and cuts it into blocks.
 
-    Returns the blocks (file, block, tokens) and which document came in which place (file, ordinal, id). A null text is empty.
+    Returns the blocks (file, block, tokens) and which document came in which place (file, ordinal, id). A null text is empty. The
+    separator's string in a text is ordinary text here, so that it ends no document.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     dtype, size = f"<u{token_bytes}", block_tokens * token_bytes

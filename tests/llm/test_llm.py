@@ -44,6 +44,19 @@ def test_encoder_equals_tokenizers():
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_equal_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(bpe.VOCABULARY)
+    texts = ["a<|endoftext|> z", "<|endoftext|>", "<|endoftext|><|endoftext|> a  b", "a <|endoftext|>b", "x\n <|endoftext|> \n y <|endoftext", "<|endoftext|>s of <|endoftext|> é ", "plain text"]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice(["a", " of", " ", "\n", "é", "<|endoftext|>", "<|", "|>", "'s", "1"]) for _ in range(30)) for _ in range(200)]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows}
+    for i, t in enumerate(texts):
+        assert got[i] == [*reference.encode(t, add_special_tokens=False).ids, 0], repr(t)
+
+
 def check_packing(rows, capacity):
     by = collections.defaultdict(list)
     for r in rows:
