@@ -7,13 +7,13 @@ and in blocks of bounded size, so no pair is written down: a block returns how m
 forest that spans its links.
 
 Equal vectors are one class with a weight, whatever their number. Pivots grow with the square root of the number of vectors,
-so lists stay short.
+so lists stay short; the depth grows with the logarithm of the pivots, as two vectors of one cosine share fewer of a finer set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, sqrt
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +23,19 @@ from pyspark.sql import functions as F
 from .common import settle, table
 from .components import components
 
+#: Nearest pivots of a vector: DEPTH among DEPTH_PIVOTS or fewer, more among more.
 DEPTH = 7
+DEPTH_PIVOTS = 179
 BLOCK = 512
 
 
 def valid_classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """cls (smallest id), weight, v: the distinct usable vectors. Null or zero vectors, and those with null or non-finite components, or of another length than the most common, have none."""
+    """cls (smallest id), weight, v: the distinct usable vectors. Null or zero vectors, and those with null or non-finite components, or of another length than the most common (of several such, the shortest), have none."""
     v = F.col("v")
     doubles = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
     usable = doubles.where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0) & F.col("id").isNotNull())
-    return usable.groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("weight"))
+    common = usable.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    return usable.where(F.size("v") == (common["size"] if common else 0)).groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("weight"))
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -49,8 +52,13 @@ def sample_pivots(classes: DataFrame, pivots: int) -> np.ndarray:
     return _unit(rows.column("v")) if rows.num_rows else np.zeros((0, 1))
 
 
-def describe(classes: DataFrame, pivots: np.ndarray, depth: int = DEPTH) -> DataFrame:
+def depth_for(pivots: int) -> int:
+    return max(DEPTH, ceil(DEPTH * log(max(pivots, 2)) / log(DEPTH_PIVOTS)))
+
+
+def describe(classes: DataFrame, pivots: np.ndarray, depth: int | None = None) -> DataFrame:
     """cls, weight, v, near: the `depth` nearest pivots, nearest first."""
+    depth = depth or depth_for(len(pivots))
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
     kind = classes.schema["cls"].dataType.simpleString()
 
@@ -125,17 +133,18 @@ def _judge(threshold: float, min_shared: int):
     return judge
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, depth: int = DEPTH, pivots_per_root: float = 4.0, min_pivots: int = 48, min_shared: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, depth: int | None = None, pivots_per_root: float = 4.0, min_pivots: int = 48, min_shared: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row for each row of vectors: the id, n_links (other rows linked directly), component_id (the smallest id reachable),
     kept (whether it is its component's smallest).
 
-    Links are pairs with a cosine of at least `threshold` that share `min_shared` of their `depth` nearest pivots; equal vectors
+    Links are pairs with a cosine of at least `threshold` that share `min_shared` of their `depth` nearest pivots (see depth_for); equal vectors
     are always linked. Unusable vectors (see valid_classes) and rows with a null id have no links and are their own component.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     classes = settle(valid_classes(vectors, id_col=id_col, vector_col=vector_col), "classes")
     n = classes.count()
     points = sample_pivots(classes, min(max(min_pivots, ceil(pivots_per_root * sqrt(n))), 1 << 16))
+    depth = depth or depth_for(len(points))
     if len(points) < 2 or n < 2:
         found = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0).cast("long").alias("n")).limit(0)
     else:

@@ -391,6 +391,36 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def planted_pairs(rng, n, width, cosine):
+    """n rows of unit vectors and n others, each at the given cosine to its row."""
+    a, b = rng.normal(size=(2, n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + math.sqrt(1 - cosine**2) * b
+
+
+@pytest.mark.parametrize("pivots", [179, 1265, 4000])
+def test_embedding_recall_at_the_threshold(spark, pivots):
+    """Pairs of cosine 0.9 share two pivots, however many there are (4000 are those of a million vectors)."""
+    rng = np.random.default_rng(pivots)
+    a, b = planted_pairs(rng, 1000, 64, 0.9)
+    points = rng.normal(size=(pivots, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "cls long, weight long, v array<double>")
+    near = {r["cls"]: set(r["near"]) for r in embeddings.describe(df, points).select("cls", "near").collect()}
+    assert sum(len(near[i] & near[1000 + i]) >= 2 for i in range(1000)) >= 980
+
+
+def test_embeddings_of_other_lengths(spark):
+    rng = np.random.default_rng(5)
+    a, b = planted_pairs(rng, 40, 16, 0.99)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))] + [(100 + i, rng.normal(size=24).tolist()) for i in range(10)] + [(200, []), (201, [1.0] * 8), (202, [1.0] * 8)]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows) and all(got[40 + i]["component_id"] == i for i in range(40))
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in got if i >= 100)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
