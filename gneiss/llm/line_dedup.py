@@ -1,8 +1,8 @@
 """Cross-site boilerplate removal by line.
 
-Each line's spread is the number of distinct sites (sources) that have it. HyperLogLog sketches of the sites, one a line hash,
-merge by aggregation, partly before the shuffle; lines whose estimate lies near the threshold get an exact distinct count, the
-others are decided by the estimate. Of a line that spreads over `min_sites` sites its first place is kept (smallest id, then
+Each line's spread is the number of distinct sites (sources) that have it. Lines are grouped by hash and site first, so that the
+number of groups of a line is its exact spread, and that decides. HyperLogLog sketches of the sites and the exact count near the
+threshold come after it and repeat the decision. Of a line that spreads over `min_sites` sites its first place is kept (smallest id, then
 smallest position), so that no text is lost altogether; its other places are removed.
 """
 
