@@ -10,25 +10,37 @@ Every context that the training texts have stays, with all its symbols. A byte's
 two bytes before the last: all that orders 2 and up say of a string then lies in its part, however large the corpus is, and
 only the counts of orders 0 and 1 (at most 256 + 256 ** 2) are sent to every part.
 
-Texts are dealt into blocks of `block_bytes`. A block sends each of its distinct words and byte strings once, so a frequent
-word costs a row a block and not a row a document; counts and probabilities come back to the blocks the same way.
+Texts are dealt into blocks of `block_bytes`. What a block has is packed: for each part one row with the block's distinct
+strings and their counts as two byte strings, so neither a string nor its probability costs a row a block. Packed rows of
+`SLOT_BLOCKS` blocks are merged, the merged strings are counted over the corpus and scored, and the probabilities go back to
+merged blocks and from there, packed in the order in which the strings came, to the blocks.
+
+A text's score is the probability of its bytes; the end of a text is not coded, so the scores are comparable between texts of
+like lengths and the empty text's score is 0.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, settle, table
 
 ORDER = 4
 BLOCK_BYTES = 8 << 20
+#: Positions worked through at a time.
+PIECE = 1 << 20
+#: Blocks merged before their strings are counted over the corpus, and blocks between which a word's rows are pre-aggregated.
+SLOT_BLOCKS, WORD_BLOCKS = 32, 4096
+#: Bytes of text for which there is one part, and the most parts.
+PART_BYTES, MOST_PARTS = 64 << 20, 4096
 #: Distinct byte strings a part, on average.
 PART_GRAMS = 250_000
 END = b""
@@ -52,12 +64,20 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return key
 
 
-def _inside(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
-    """Which of the n positions (from ORDER on) belong to a text, not to the zeros between."""
-    edge = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(edge, start - ORDER, 1)
-    np.add.at(edge, start - ORDER + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+def _pieces(texts: list[bytes], marks: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First position, number of positions, and each position's gram and mark (its text's, 0 between texts), PIECE at a time."""
+    data, start, length = _buffer(texts)
+    mark = np.zeros(max(len(data) - ORDER, 0), dtype=np.uint8)
+    for s, n, m in zip((start - ORDER).tolist(), length.tolist(), marks.tolist(), strict=True):
+        mark[s : s + n] = m
+    for a in range(0, len(mark), PIECE):
+        own = mark[a : a + PIECE]
+        yield a, len(own), _grams(data[a : a + len(own) + ORDER]), own
+
+
+def _part(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each gram, by the two bytes before its last."""
+    return ((grams >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(parts)
 
 
 class Lookup:
@@ -152,11 +172,31 @@ def _texts(t: pa.Table, column: str) -> list[bytes]:
     return [x or b"" for x in t.column(column).to_pylist()]
 
 
-def _count_block(t: pa.Table) -> pa.Table:
-    """A block's distinct words (kind 0) and byte strings (kind 1) with their training counts, 0 for those of held-out texts alone."""
-    texts, held = _texts(t, "text"), t.column("held_out").to_pylist()
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all arrays in order, and the sum of each one's counts."""
+    key, n = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (keys, counts))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[first], np.add.reduceat(n, first, dtype=n.dtype) if len(first) else n
+
+
+def _block_grams(texts: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a block in order, and how often training texts have each."""
+    keys, counts = [], []
+    for _, _, grams, mark in _pieces(texts, 1 + held.astype(np.uint8)):
+        for m in (1, 2):
+            found, n = np.unique(grams[mark == m], return_counts=True)
+            keys.append(found)
+            counts.append(n.astype(np.uint32) * np.uint32(m == 1))
+    return _summed(keys, counts)
+
+
+def _count_block(t: pa.Table, parts: int) -> pa.Table:
+    """A block's distinct words with their training counts (0 for those of held-out texts alone), and one row of grams for each part."""
+    texts, held = _texts(t, "text"), t.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
     words: Counter[bytes] = Counter({END: 0})
-    for text, out in zip(texts, held, strict=True):
+    for text, out in zip(texts, held.tolist(), strict=True):
         own = text.lower().split()
         if out:
             for w in own:
@@ -164,24 +204,40 @@ def _count_block(t: pa.Table) -> pa.Table:
         else:
             words.update(own)
             words[END] += 1
-    data, start, length = _buffer(texts)
-    grams = _grams(data)
-    marked = (grams[_inside(start, length, len(grams))] << np.uint64(1)) | np.repeat(np.array(held, dtype=np.uint64), length)
-    marked, n = np.unique(marked, return_counts=True)
-    n[marked & np.uint64(1) == 1] = 0
-    found, first = np.unique(marked >> np.uint64(1), return_index=True)
-    n = np.add.reduceat(n, first) if len(first) else n
-    block = t.column("block")[0].as_py()
-    n_words = len(words)
+    found, n = _block_grams(texts, held)
+    part = _part(found, parts)
+    own = np.unique(part)
+    n_words, n_parts = len(words), len(own)
     return pa.table({
-        "kind": pa.array(np.repeat(np.array([0, 1], dtype=np.int8), [n_words, len(found)])),
-        "block": pa.array(np.full(n_words + len(found), block, dtype=np.int32)),
-        "word": pa.concat_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(found), pa.binary())]),
-        "gram": pa.concat_arrays([pa.nulls(n_words, pa.int64()), pa.array(found.astype(np.int64))]),
-        "n": pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(n.astype(np.int64))]),
+        "block": pa.array(np.full(n_words + n_parts, t.column("block")[0].as_py(), dtype=np.int32)),
+        "word": pa.concat_arrays([pa.array(list(words), pa.binary()), pa.nulls(n_parts, pa.binary())]),
+        "n": pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.nulls(n_parts, pa.int64())]),
+        "part": pa.concat_arrays([pa.nulls(n_words, pa.int32()), pa.array(own.astype(np.int32))]),
+        "grams": pa.concat_arrays([pa.nulls(n_words, pa.binary()), pa.array([found[part == k].tobytes() for k in own], pa.binary())]),
+        "counts": pa.concat_arrays([pa.nulls(n_words, pa.binary()), pa.array([n[part == k].tobytes() for k in own], pa.binary())]),
     })
 
 
+def _unpack(t: pa.Table, column: str, dtype: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=dtype) for x in t.column(column)]
+
+
+def _merge_slot(t: pa.Table) -> pa.Table:
+    """part, slot, gram, n: the grams of one part in the blocks of one slot."""
+    found, n = _summed(_unpack(t, "grams", "<u8"), [x.astype(np.int64) for x in _unpack(t, "counts", "<u4")])
+    part, slot = (np.full(len(found), t.column(c)[0].as_py(), dtype=np.int32) for c in ("part", "slot"))
+    return pa.table({"part": part, "slot": slot, "gram": found.astype(np.int64), "n": n.astype(np.int64)})
+
+
+def _spread_slot(blocks: pa.Table, scored: pa.Table) -> pa.Table:
+    """block, part, logs: for each block of a slot, the log10 of its grams of one part, in their order."""
+    gram, log = scored.column("gram").to_numpy(), scored.column("log10").to_numpy()
+    order = np.argsort(gram)
+    gram, log = gram[order].astype(np.uint64), log[order]
+    logs = [log[np.searchsorted(gram, own)].tobytes() for own in _unpack(blocks, "grams", "<u8")]
+    return pa.table({"block": blocks.column("block"), "part": blocks.column("part"), "logs": pa.array(logs, pa.binary())})
+
+
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of n of each."""
     found, inverse = np.unique(keys, return_inverse=True)
@@ -209,7 +265,7 @@ def gram_scores(grams: DataFrame, part_grams: int = PART_GRAMS) -> DataFrame:
     return dealt.mapInArrow(score, "gram long, log10 double")
 
 
-def score_documents(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, slot_blocks: int = SLOT_BLOCKS, part_grams: int = PART_GRAMS) -> DataFrame:
     """One row for each document (repeated rows each have theirs): held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes. `held_out` is a Boolean column over docs; documents where it isn't true are learnt from.
 
@@ -218,49 +274,61 @@ def score_documents(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_c
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, ceil(size / block_bytes))
+    n_blocks, parts = max(1, ceil(size / block_bytes)), min(MOST_PARTS, max(1, ceil(size / PART_BYTES)))
     own = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
-    counted = settle(own.groupBy("block").applyInArrow(_count_block, "kind byte, block int, word binary, gram long, n long"), "counts")
-    held = counted.where("kind = 1").select("block", "gram", "n")
-    scores = held.select("block", "gram").join(gram_scores(held.select("gram", "n"), part_grams).hint("shuffle_hash"), "gram")
-
-    same = Window.partitionBy("word")
-    known = counted.where("kind = 0").select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first"))
-    known = known.unionByName(scores.select("block", "gram", "log10"), allowMissingColumns=True)
+    schema = "block int, word binary, n long, part int, grams binary, counts binary"
+    counted = settle(own.groupBy("block").applyInArrow(lambda t: _count_block(t, parts), schema), "counts")
+
+    packed = counted.where("part is not null").select("part", F.floor(F.col("block") / slot_blocks).cast("int").alias("slot"), "block", "grams", "counts")
+    slots = settle(packed.groupBy("part", "slot").applyInArrow(_merge_slot, "part int, slot int, gram long, n long"), "slots")
+    scores = slots.select("part", "slot", "gram").join(gram_scores(slots.select("gram", "n"), part_grams).hint("shuffle_hash"), "gram")
+    logs = packed.select("part", "slot", "block", "grams").groupBy("part", "slot").cogroup(scores.groupBy("part", "slot")).applyInArrow(_spread_slot, "block int, part int, logs binary")
+
+    # A word has a row for each block that holds it: these are summed over WORD_BLOCKS blocks first, and get their sum the same way.
+    words = counted.where("word is not null").select("word", F.floor(F.col("block") / WORD_BLOCKS).cast("int").alias("lot"), "block", "n")
+    lots = words.groupBy("word", "lot").agg(F.sum("n").alias("n"))
+    sums = settle(lots.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    distinct, total = sums.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
+    known = words.select("word", "lot", "block").join(lots.select("word", "lot").join(sums, "word"), ["word", "lot"]).select("block", "word", "c")
+    known = known.unionByName(logs, allowMissingColumns=True)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, log_counts double, score double, n_bytes long, n_distinct long, n_total long"
 
     def score_block(docs_: pa.Table, known_: pa.Table) -> pa.Table:
         texts = _texts(docs_, "text")
-        rated = known_.filter(pc.is_valid(known_.column("gram")))
-        known_ = known_.filter(pc.is_null(known_.column("gram")))
-        words, c = known_.column("word").to_pylist(), known_.column("c").to_numpy()
-        logs = dict(zip(words, np.log10(c + 1.0).tolist(), strict=True))
-        new = {w for w, n in zip(words, c.tolist(), strict=True) if not n}
+        packed_ = known_.filter(pc.is_valid(known_.column("part")))
+        known_ = known_.filter(pc.is_valid(known_.column("word")))
+        words_, c = known_.column("word").to_pylist(), known_.column("c").to_numpy()
+        costs = dict(zip(words_, np.log10(c + 1.0).tolist(), strict=True))
+        new = {w for w, n in zip(words_, c.tolist(), strict=True) if not n}
         rows = []
         for text in texts:
             tokens = [*text.lower().split(), END]
-            rows.append((len(tokens), len(tokens) - (sum(map(new.__contains__, tokens)) if new else 0), sum(map(logs.__getitem__, tokens))))
-        data, start, length = _buffer(texts)
-        upto = np.zeros(len(data) + 1)
-        if len(grams := _grams(data)):
-            inside = _inside(start, length, len(grams))
-            logs_at = np.zeros(len(grams))
-            logs_at[inside] = rated.column("log10").to_numpy()[Lookup(rated.column("gram").to_numpy().astype(np.uint64)).find(grams[inside])]
-            np.cumsum(logs_at, out=upto[ORDER + 1 :])
-        tokens, n_known, log_counts = zip(*rows, strict=True) if rows else ((), (), ())
-        first = known_.column("first").to_numpy(zero_copy_only=False).astype(bool) & (c > 0)
-        out = {
-            "id": docs_.column("id").combine_chunks(), "held_out": docs_.column("held_out").combine_chunks(), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "log_counts": pa.array(log_counts, pa.float64()), "score": pa.array(upto[start + length] - upto[start]), "n_bytes": pa.array(length), "n_distinct": pa.nulls(len(texts), pa.int64()), "n_total": pa.nulls(len(texts), pa.int64()),
-        }
-        sums = {"n_distinct": pa.array([int(first.sum())]), "n_total": pa.array([int(c[first].sum())])}
-        return pa.concat_tables([pa.table(out), pa.table({k: sums.get(k, pa.nulls(1, v.type)) for k, v in out.items()})])
-
-    scored = settle(own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score_block, schema), "scores")
-    distinct, total = scored.agg(F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum("n_total"), F.lit(0))).first()
-    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return scored.where("n_tokens is not null").select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
+            rows.append((len(tokens), len(tokens) - (sum(map(new.__contains__, tokens)) if new else 0), sum(map(costs.__getitem__, tokens))))
+        found, _ = _block_grams(texts, np.zeros(len(texts), dtype=bool))
+        part, log = _part(found, parts), np.zeros(len(found))
+        for k, own_ in zip(packed_.column("part").to_pylist(), _unpack(packed_, "logs", "<f8"), strict=True):
+            log[part == k] = own_
+        place = Lookup(found)
+        length = np.array([len(x) for x in texts], dtype=np.int64)
+        start = np.cumsum(length + ORDER) - length - ORDER
+        score = np.zeros(len(texts))
+        for a, n, grams, mark in _pieces(texts, np.ones(len(texts), dtype=np.uint8)):
+            inside = mark > 0
+            upto = np.zeros(n + 1)
+            upto[1:][inside] = log[place.find(grams[inside])]
+            upto = np.cumsum(upto)
+            lo, hi = np.searchsorted(start + length, a, side="right"), np.searchsorted(start, a + n)
+            score[lo:hi] += upto[np.minimum(start[lo:hi] + length[lo:hi] - a, n)] - upto[np.clip(start[lo:hi] - a, 0, n)]
+        tokens, n_known, logs_ = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({
+            "id": docs_.column("id"), "held_out": docs_.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+            "logs": pa.array(logs_, pa.float64()), "score": pa.array(score), "n_bytes": pa.array(length),
+        })
+
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
+    scored = own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score_block, schema)
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
