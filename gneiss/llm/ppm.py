@@ -11,9 +11,9 @@ two bytes before the last: all that orders 2 and up say of a string then lies in
 only the counts of orders 0 and 1 (at most 256 + 256 ** 2) are sent to every part.
 
 Texts are dealt into blocks of `block_bytes`. What a block has is packed: for each part one row with the block's distinct
-strings and their counts as two byte strings, so neither a string nor its probability costs a row a block. Packed rows of
-`SLOT_BLOCKS` blocks are merged, the merged strings are counted over the corpus and scored, and the probabilities go back to
-merged blocks and from there, packed in the order in which the strings came, to the blocks.
+strings (or words) and one with their counts, so that neither costs a row a block. Packed rows of `SLOT_BLOCKS` blocks are merged,
+what is merged is counted over the corpus and scored, and the results go back to merged blocks and from there, packed in the
+order in which strings and words came, to the blocks.
 
 A text's score is the probability of its bytes; the end of a text is not coded, so the scores are comparable between texts of
 like lengths and the empty text's score is 0.
@@ -21,6 +21,7 @@ like lengths and the empty text's score is 0.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil
@@ -37,10 +38,11 @@ ORDER = 4
 BLOCK_BYTES = 8 << 20
 #: Positions worked through at a time.
 PIECE = 1 << 20
-#: Blocks merged before their strings are counted over the corpus, and blocks between which a word's rows are pre-aggregated.
-SLOT_BLOCKS, WORD_BLOCKS = 32, 4096
+#: Blocks merged before their strings and words are counted over the corpus.
+SLOT_BLOCKS = 128
 #: Bytes of text for which there is one part, and the most parts.
-PART_BYTES, MOST_PARTS = 64 << 20, 4096
+PART_BYTES, MOST_PARTS = 1 << 20, 4096
+WORDS, GRAMS = 0, 1
 #: Distinct byte strings a part, on average.
 PART_GRAMS = 250_000
 END = b""
@@ -192,11 +194,10 @@ def _block_grams(texts: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.n
     return _summed(keys, counts)
 
 
-def _count_block(t: pa.Table, parts: int) -> pa.Table:
-    """A block's distinct words with their training counts (0 for those of held-out texts alone), and one row of grams for each part."""
-    texts, held = _texts(t, "text"), t.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+def _block_words(texts: list[bytes], held: list[bool], parts: int) -> tuple[list[list[bytes]], Counter[bytes]]:
+    """The distinct words of a block (the end is one) by part, in order, and their training counts (0 for those of held-out texts alone)."""
     words: Counter[bytes] = Counter({END: 0})
-    for text, out in zip(texts, held.tolist(), strict=True):
+    for text, out in zip(texts, held, strict=True):
         own = text.lower().split()
         if out:
             for w in own:
@@ -204,38 +205,75 @@ def _count_block(t: pa.Table, parts: int) -> pa.Table:
         else:
             words.update(own)
             words[END] += 1
+    dealt: list[list[bytes]] = [[] for _ in range(parts)]
+    for w in sorted(words):
+        dealt[zlib.crc32(w) % parts].append(w)
+    return dealt, words
+
+
+def _count_block(t: pa.Table, parts: int) -> pa.Table:
+    """What a block has of each part: words, joined by spaces, and grams, each with their counts."""
+    texts, held = _texts(t, "text"), t.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+    dealt, words = _block_words(texts, held.tolist(), parts)
+    rows = [(WORDS, k, b" ".join(own), np.array([words[w] for w in own], dtype="<u4").tobytes()) for k, own in enumerate(dealt) if own]
     found, n = _block_grams(texts, held)
+    for k, i in _by_part(found, parts):
+        rows.append((GRAMS, k, found[i].tobytes(), n[i].tobytes()))
+    kind, part, keys, counts = zip(*rows, strict=True)
+    block = np.full(len(rows), t.column("block")[0].as_py(), dtype=np.int32)
+    return pa.table({"block": pa.array(block), "kind": pa.array(kind, pa.int8()), "part": pa.array(part, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def _by_part(found: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the places of its grams, in their order."""
     part = _part(found, parts)
-    own = np.unique(part)
-    n_words, n_parts = len(words), len(own)
-    return pa.table({
-        "block": pa.array(np.full(n_words + n_parts, t.column("block")[0].as_py(), dtype=np.int32)),
-        "word": pa.concat_arrays([pa.array(list(words), pa.binary()), pa.nulls(n_parts, pa.binary())]),
-        "n": pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.nulls(n_parts, pa.int64())]),
-        "part": pa.concat_arrays([pa.nulls(n_words, pa.int32()), pa.array(own.astype(np.int32))]),
-        "grams": pa.concat_arrays([pa.nulls(n_words, pa.binary()), pa.array([found[part == k].tobytes() for k in own], pa.binary())]),
-        "counts": pa.concat_arrays([pa.nulls(n_words, pa.binary()), pa.array([n[part == k].tobytes() for k in own], pa.binary())]),
-    })
+    order = np.argsort(part, kind="stable")
+    own, first = np.unique(part[order], return_index=True)
+    yield from zip(own.tolist(), np.split(order, first[1:]), strict=True) if len(own) else ()
 
 
 def _unpack(t: pa.Table, column: str, dtype: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=dtype) for x in t.column(column)]
 
 
-def _merge_slot(t: pa.Table) -> pa.Table:
+def _words(raw: np.ndarray) -> pa.BinaryArray:
+    """Words joined by single spaces, as an array."""
+    ends = np.append(np.flatnonzero(raw == 32), len(raw)).astype(np.int32)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int32)
+    size = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(size), pa.py_buffer(np.ascontiguousarray(raw[raw != 32]))])
+
+
+def _merge_words(t: pa.Table) -> pa.Table:
+    """part, slot, word, n: the words of one part in the blocks of one slot."""
+    merged = pa.table({"word": pa.chunked_array([_words(x) for x in _unpack(t, "keys", "u1")]), "n": pa.chunked_array([pa.array(x.astype(np.int64)) for x in _unpack(t, "counts", "<u4")])})
+    merged = merged.group_by("word").aggregate([("n", "sum")])
+    part, slot = (pa.array(np.full(len(merged), t.column(c)[0].as_py(), dtype=np.int32)) for c in ("part", "slot"))
+    return pa.table({"part": part, "slot": slot, "word": merged.column("word"), "n": merged.column("n_sum")})
+
+
+def _merge_grams(t: pa.Table) -> pa.Table:
     """part, slot, gram, n: the grams of one part in the blocks of one slot."""
-    found, n = _summed(_unpack(t, "grams", "<u8"), [x.astype(np.int64) for x in _unpack(t, "counts", "<u4")])
-    part, slot = (np.full(len(found), t.column(c)[0].as_py(), dtype=np.int32) for c in ("part", "slot"))
-    return pa.table({"part": part, "slot": slot, "gram": found.astype(np.int64), "n": n.astype(np.int64)})
+    found, n = _summed(_unpack(t, "keys", "<u8"), [x.astype(np.int64) for x in _unpack(t, "counts", "<u4")])
+    part, slot = (pa.array(np.full(len(found), t.column(c)[0].as_py(), dtype=np.int32)) for c in ("part", "slot"))
+    return pa.table({"part": part, "slot": slot, "gram": pa.array(found.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
 
+def _spread_words(blocks: pa.Table, counted: pa.Table) -> pa.Table:
+    """block, kind, part, found: for each block of a slot, the training counts of its words of one part, in their order."""
+    known = counted.column("word").combine_chunks()
+    c = counted.column("c").to_numpy()
+    found = [c[pc.index_in(_words(own), known).to_numpy()].astype("<i8").tobytes() for own in _unpack(blocks, "keys", "u1")]
+    return pa.table({"block": blocks.column("block"), "kind": blocks.column("kind"), "part": blocks.column("part"), "found": pa.array(found, pa.binary())})
 
-def _spread_slot(blocks: pa.Table, scored: pa.Table) -> pa.Table:
-    """block, part, logs: for each block of a slot, the log10 of its grams of one part, in their order."""
+
+def _spread_grams(blocks: pa.Table, scored: pa.Table) -> pa.Table:
+    """block, kind, part, found: for each block of a slot, the log10 of its grams of one part, in their order."""
     gram, log = scored.column("gram").to_numpy(), scored.column("log10").to_numpy()
     order = np.argsort(gram)
     gram, log = gram[order].astype(np.uint64), log[order]
-    logs = [log[np.searchsorted(gram, own)].tobytes() for own in _unpack(blocks, "grams", "<u8")]
-    return pa.table({"block": blocks.column("block"), "part": blocks.column("part"), "logs": pa.array(logs, pa.binary())})
+    found = [log[np.searchsorted(gram, own)].tobytes() for own in _unpack(blocks, "keys", "<u8")]
+    return pa.table({"block": blocks.column("block"), "kind": blocks.column("kind"), "part": blocks.column("part"), "found": pa.array(found, pa.binary())})
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,38 +314,37 @@ def score_documents(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_c
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, parts = max(1, ceil(size / block_bytes)), min(MOST_PARTS, max(1, ceil(size / PART_BYTES)))
     own = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
-    schema = "block int, word binary, n long, part int, grams binary, counts binary"
-    counted = settle(own.groupBy("block").applyInArrow(lambda t: _count_block(t, parts), schema), "counts")
-
-    packed = counted.where("part is not null").select("part", F.floor(F.col("block") / slot_blocks).cast("int").alias("slot"), "block", "grams", "counts")
-    slots = settle(packed.groupBy("part", "slot").applyInArrow(_merge_slot, "part int, slot int, gram long, n long"), "slots")
+    counted = settle(own.groupBy("block").applyInArrow(lambda t: _count_block(t, parts), "block int, kind byte, part int, keys binary, counts binary"), "counts")
+    counted = counted.withColumn("slot", F.floor(F.col("block") / slot_blocks).cast("int"))
+    words, packed = counted.where(F.col("kind") == WORDS), counted.where(F.col("kind") == GRAMS)
+    slots = settle(packed.select("part", "slot", "keys", "counts").groupBy("part", "slot").applyInArrow(_merge_grams, "part int, slot int, gram long, n long"), "slots")
     scores = slots.select("part", "slot", "gram").join(gram_scores(slots.select("gram", "n"), part_grams).hint("shuffle_hash"), "gram")
-    logs = packed.select("part", "slot", "block", "grams").groupBy("part", "slot").cogroup(scores.groupBy("part", "slot")).applyInArrow(_spread_slot, "block int, part int, logs binary")
+    back = "block int, kind byte, part int, found binary"
+    known = packed.drop("counts").groupBy("part", "slot").cogroup(scores.groupBy("part", "slot")).applyInArrow(_spread_grams, back)
 
-    # A word has a row for each block that holds it: these are summed over WORD_BLOCKS blocks first, and get their sum the same way.
-    words = counted.where("word is not null").select("word", F.floor(F.col("block") / WORD_BLOCKS).cast("int").alias("lot"), "block", "n")
-    lots = words.groupBy("word", "lot").agg(F.sum("n").alias("n"))
-    sums = settle(lots.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    slots = settle(words.select("part", "slot", "keys", "counts").groupBy("part", "slot").applyInArrow(_merge_words, "part int, slot int, word binary, n long"), "words")
+    sums = settle(slots.groupBy("word").agg(F.sum("n").alias("c")), "sums")
     distinct, total = sums.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
-    known = words.select("word", "lot", "block").join(lots.select("word", "lot").join(sums, "word"), ["word", "lot"]).select("block", "word", "c")
-    known = known.unionByName(logs, allowMissingColumns=True)
+    counts = slots.select("part", "slot", "word").join(sums, "word")
+    known = known.union(words.drop("counts").groupBy("part", "slot").cogroup(counts.groupBy("part", "slot")).applyInArrow(_spread_words, back))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score_block(docs_: pa.Table, known_: pa.Table) -> pa.Table:
         texts = _texts(docs_, "text")
-        packed_ = known_.filter(pc.is_valid(known_.column("part")))
-        known_ = known_.filter(pc.is_valid(known_.column("word")))
-        words_, c = known_.column("word").to_pylist(), known_.column("c").to_numpy()
-        costs = dict(zip(words_, np.log10(c + 1.0).tolist(), strict=True))
-        new = {w for w, n in zip(words_, c.tolist(), strict=True) if not n}
+        dealt, _ = _block_words(texts, [True] * len(texts), parts)
+        found, _ = _block_grams(texts, np.zeros(len(texts), dtype=bool))
+        places, log, costs, new = dict(_by_part(found, parts)), np.zeros(len(found)), {}, set()
+        for what, part, raw in zip(known_.column("kind").to_pylist(), known_.column("part").to_pylist(), known_.column("found"), strict=True):
+            if what == GRAMS:
+                log[places[part]] = np.frombuffer(raw.as_buffer(), dtype="<f8")
+            else:
+                c = np.frombuffer(raw.as_buffer(), dtype="<i8")
+                costs.update(zip(dealt[part], np.log10(c + 1.0).tolist(), strict=True))
+                new.update(dealt[part][k] for k in np.flatnonzero(c == 0))
         rows = []
         for text in texts:
             tokens = [*text.lower().split(), END]
             rows.append((len(tokens), len(tokens) - (sum(map(new.__contains__, tokens)) if new else 0), sum(map(costs.__getitem__, tokens))))
-        found, _ = _block_grams(texts, np.zeros(len(texts), dtype=bool))
-        part, log = _part(found, parts), np.zeros(len(found))
-        for k, own_ in zip(packed_.column("part").to_pylist(), _unpack(packed_, "logs", "<f8"), strict=True):
-            log[part == k] = own_
         place = Lookup(found)
         length = np.array([len(x) for x in texts], dtype=np.int64)
         start = np.cumsum(length + ORDER) - length - ORDER
