@@ -2,14 +2,19 @@
 
 A document's set is hashed; equal sets are one class, and classes are what is joined. In a class's sketch every shingle flips
 one bit, so the Hamming distance of two sketches never exceeds the size of the sets' symmetric difference. Classes are banded
-by size so that two similar ones lie in the same or in adjacent bands, and all sketches of a band have P words of 64 bits, a
-tenth more than the most differences d that a link there allows. A differing shingle touches one word, so two linked classes
-agree in at least P - d words: they meet in a bucket (band, word's place, word).
+by size so that two similar ones lie in the same or in adjacent bands; a class of which a larger partner may lie in the next band
+is sketched for that band too. All sketches of a band have P words of 64 bits, a tenth more than the most differences d that a
+link there allows. A differing shingle touches one word, so two linked classes agree in at least P - d words: they meet in a
+bucket (band, word's place, word). P - d - 1 words of a class need no bucket: those without shingles, and as many at the end.
+
+Only buckets are made of whole sketches; what stays beside a class is a short sketch for each of its bands, with about eight bits
+for each allowed difference, whose Hamming distance is a lower bound as well.
 
 Buckets are not expanded into pairs. Hubs first: each bucket's smallest class, then its largest, then another one, is held
 against those of its members that are not yet known to be connected to it; groups of near copies are joined by that. A hub is
 then through with its bucket, and so is a bucket whose members are all connected. What remains is compared sketch by sketch in
-tiles of bounded size. Every pair that passes the sketches is verified on the whole sets.
+tiles of bounded size. Every pair that passes the sketches is verified on the whole sets. Members of a large bucket, and rows of a
+large class, are dealt into lots before they meet what is known of it.
 """
 
 from __future__ import annotations
@@ -24,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import if_small, settle, table
+from .common import forget, if_small, settle, table
 from .components import components
 
 TILE = 256
+#: Rows of one bucket or class that meet what is known of it in one lot.
+LOT = 1024
+#: Size bands for each factor of 1 / threshold in size are 1 / SPAN.
+SPAN = 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _RADIX = 0x9E3779B97F4A7C15 | 1
@@ -94,7 +103,8 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
 
 
 class Bands:
-    """Size bands for a threshold: similar sets lie in the same or in adjacent ones."""
+    """Size bands for a threshold, each SPAN times as wide (in factors) as two similar sets may differ: they lie in the same or in
+    adjacent ones."""
 
     def __init__(self, threshold: Fraction):
         self.threshold = threshold
@@ -102,22 +112,36 @@ class Bands:
 
     def _grow(self, n: int) -> None:
         while self.lower[-1] <= n:
-            self.lower.append(-int(-self.lower[-1] / self.threshold // 1))
+            self.lower.append(-int(-self.lower[-1] / self.threshold**SPAN // 1))
 
     def of(self, n: int) -> int:
         self._grow(n)
         return bisect_right(self.lower, n) - 1
 
-    def differences(self, band: int) -> int:
-        """The most shingles in which two linked sets can differ if the larger lies in this band."""
+    def upper(self, band: int) -> int:
+        """The first size above the band."""
         while len(self.lower) <= band + 1:
             self._grow(self.lower[-1])
-        return int(2 * (self.lower[band + 1] - 1) * (1 - self.threshold) / (1 + self.threshold))
+        return self.lower[band + 1]
+
+    def sides(self, n: int) -> list[int]:
+        """The bands for which a set of n shingles is sketched: its own, and the next if a similar set may lie there."""
+        k = self.of(n)
+        return [k, k + 1] if n >= self.threshold * self.upper(k) else [k]
+
+    def differences(self, band: int) -> int:
+        """The most shingles in which two linked sets can differ if the larger lies in this band."""
+        return int(2 * (self.upper(band) - 1) * (1 - self.threshold) / (1 + self.threshold))
 
     def words(self, band: int) -> int:
+        """Words of the sketches that make buckets; none where only equal sets are linked."""
         d = self.differences(band)
         return d + 1 + (d + 1) // 10 if d else 0
 
+    def short_words(self, band: int) -> int:
+        d = self.differences(band)
+        return d // 8 + 1 if d else 0
+
 
 def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
     """`words` numbers of 64 bits; each shingle flips one bit of one of them."""
@@ -128,8 +152,8 @@ def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, *, width: int, threshold: Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), cls (hash of the set), band, own and up (sketches for the set's band, as one of the larger or of its
-    equals, and for the band above, as one of the smaller; empty where only equal sets can be linked)."""
+    """id, n (set size), cls (hash of the set), band, own and up (short sketches for the set's band, as one of the larger or of its
+    equals, and for the band above, as one of the smaller; null where no other set can be linked)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +165,9 @@ def sketch_documents(docs: DataFrame, *, width: int, threshold: Fraction, id_col
                 n.append(len(s))
                 band.append(k)
                 cls.append(np.uint64(_mix(np.array([_mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]).view(np.int64) if len(s) else None)
+                sides = bands.sides(len(s)) if len(s) else []
                 for out, at in ((own, k), (up, k + 1)):
-                    words = bands.words(at) if len(s) else 0
+                    words = bands.short_words(at) if at in sides else 0
                     out.append(parity_sketch(s, words).view("<i8") if words else None)
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(up, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "cls", "band", "own", "up"])
@@ -151,18 +176,42 @@ def sketch_documents(docs: DataFrame, *, width: int, threshold: Fraction, id_col
     return own.mapInArrow(work, f"id {kind}, n long, cls long, band int, own array<long>, up array<long>")
 
 
-def _bucket_rows(classes: DataFrame, threshold: Fraction) -> DataFrame:
-    """bucket, cls. Words that are 0 (no shingle, as a rule) are buckets only for a class with too many of them to do without."""
-    bands = Bands(threshold)
-    allowed = {k: bands.differences(k) for k in range(bands.of(1 << 31) + 2)}
-    most = F.array(*[F.lit(allowed[k]) for k in sorted(allowed)])
-    sides = F.array(F.struct(F.col("band").alias("band"), F.col("own").alias("sketch")), F.struct((F.col("band") + 1).alias("band"), F.col("up").alias("sketch")))
-    each = classes.select("cls", F.explode(sides).alias("s")).select("cls", "s.*").where(F.size("sketch") > 0)
-    zeros = F.size("sketch") - F.size(F.array_remove("sketch", 0))
-    each = each.withColumn("needed", zeros >= F.size("sketch") - F.get(most, F.col("band")))
-    words = each.select("cls", "band", "needed", F.posexplode("sketch").alias("place", "word")).where("needed or word != 0")
-    bucket = F.shiftrightunsigned(F.xxhash64("band", "place", "word"), 20)  # 44 bits; buckets that fall together only cost a look
-    return words.select(bucket.alias("bucket"), "cls")
+def bucket_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+    """The buckets of a set, numbers of 44 bits (buckets that fall together only cost a look).
+
+    Of a band's P words, linked sets agree in P - d. A set leaves out words that are 0 and then a run of words at the end, P - d - 1
+    in all. What two sets that agree leave out together of the words in which they agree is what the one with the longer run leaves
+    out, so one word remains in both. A set with too many words that are 0 leaves out none.
+    """
+    out = [np.zeros(0, dtype=np.uint64)]
+    for band in bands.sides(len(shingles)) if len(shingles) else ():
+        if not (words := bands.words(band)):
+            continue
+        sketch = parity_sketch(shingles, words).view(np.uint64)
+        spare = words - bands.differences(band) - 1
+        kept = np.arange(words)
+        empty = int((sketch == 0).sum())
+        if empty <= spare:
+            tail = np.cumsum(sketch[::-1] != 0)  # words with shingles in each run at the end
+            kept = kept[: words - int(np.searchsorted(tail, spare - empty, side="right"))]
+            kept = kept[sketch[kept] != 0]
+        place = np.uint64(band * 0x9E3779B97F4A7C15 % (1 << 64)) + kept.astype(np.uint64)
+        out.append(_mix(_mix(place) + sketch[kept]) >> np.uint64(20))
+    return np.concatenate(out)
+
+
+def _bucket_rows(texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """bucket, cls of the classes' texts (cls, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(threshold)
+        for b in batches:
+            keys = [bucket_keys(s, bands) for s in shingle_sets(b.column(1).to_pylist(), width)]
+            cls = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
+            whole = pa.table({"bucket": pa.array(np.concatenate(keys).astype(np.int64) if keys else [], pa.int64()), "cls": pa.array(cls, pa.int64())})
+            yield from whole.to_batches(max_chunksize=1 << 16)
+
+    return texts.select("cls", "text").mapInArrow(work, "bucket long, cls long")
 
 
 def _similar(a: str, b: str, threshold: Fraction) -> Column:
@@ -175,10 +224,22 @@ def _similar(a: str, b: str, threshold: Fraction) -> Column:
     return (q * F.least(n, m) >= p * F.greatest(n, m)) & (F.abs(F.col(f"{a}.band") - F.col(f"{b}.band")) <= 1) & (apart * (p + q) <= (n + m) * (q - p))
 
 
+def _with_bucket(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members (bucket, cls, size, ..) with what is known of their buckets (bucket, size, ..), LOT or so of a bucket's members at a time."""
+    lots = F.ceil(F.col("size") / LOT).cast("int")
+    dealt = known.withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1))).drop("size")
+    return members.withColumn("lot", F.pmod(F.xxhash64("cls"), lots).cast("int")).join(dealt, ["bucket", "lot"]).drop("lot")
+
+
+def _open(members: DataFrame, *more: Column) -> DataFrame:
+    """bucket, size, and more aggregates of the buckets whose members aren't all connected."""
+    each = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("size"), *more)
+    return each.where("least != most").drop("least", "most")
+
+
 def _hub_pairs(members: DataFrame, hubs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: each bucket's hub with those of its members that lie in other components, if their sketches allow a link."""
-    pairs = members.join(hubs, "bucket").where("cls != hub and component != hub_component").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    pairs = if_small(settle(pairs, "hubs"))
+    pairs = _with_bucket(members, hubs).where("cls != hub and component != hub_component").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
     one = pairs.join(sketches.select("cls", "n", "band", "own", "up").alias("x"), F.col("a") == F.col("x.cls"))
     return one.join(sketches.alias("y"), F.col("b") == F.col("y.cls")).where(_similar("x", "y", threshold)).select("a", "b")
 
@@ -186,8 +247,8 @@ def _hub_pairs(members: DataFrame, hubs: DataFrame, sketches: DataFrame, thresho
 def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: all pairs of different components in one bucket whose sketches allow a link, compared in tiles of two times TILE rows."""
     p, q = threshold.numerator, threshold.denominator
-    sizes = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least != most")
-    open_ = members.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    sizes = _open(members, F.count("*").alias("left"))
+    open_ = _with_bucket(members, sizes).withColumn("tiles", F.ceil(F.col("left") / TILE).cast("int"))
     open_ = open_.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     dealt = open_.select("bucket", "cls", "component", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select("bucket", "cls", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
@@ -225,7 +286,6 @@ def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) ->
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = settle(dealt, "tiles")
     lots = max(1, dealt.count() // (2 * TILE))  # small buckets share a lot
     found = dealt.withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots))).join(sketches, "cls").groupBy("lot").applyInArrow(compare, "a long, b long")
     return found.distinct()
@@ -242,7 +302,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fractio
     needed = dealt.select("a", "part", "b").union(dealt.select("a", "part", F.col("a").alias("b")).distinct())
     lots = max(1, pairs.count() // 64)  # small groups share a lot
     lot = F.pmod(F.xxhash64("a", "part"), F.lit(lots)).alias("lot")
-    needed = if_small(settle(needed, "needed"))
     full = needed.join(texts, F.col("b") == F.col("cls")).select("a", "part", "b", "text", lot)
 
     def verify(t: pa.Table) -> pa.Table:
@@ -276,42 +335,49 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: float = 0.
     share = Fraction(str(threshold))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = docs.withColumn("h", F.xxhash64("text"))
+    # A pass over the texts for sizes, classes and short sketches; the classes' texts make the buckets in a second one.
     rows = settle(sketch_documents(hashed.select(F.struct("id", "h").alias("key"), "text"), width=width, threshold=share, id_col="key"), "sketches")
     rows = rows.select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), "n", F.col("cls").alias("set"), "band", "own", "up")
     parts = ("n", "band", "own", "up")
     # Classes are numbered: numbers are smaller in shuffles than hashes. The same number follows a set everywhere.
-    numbered = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("one"), *[F.first(c).alias(c) for c in parts])
-    classes = settle(numbered.select("set", "one", F.monotonically_increasing_id().alias("cls"), *parts), "classes")
-    dealt = _bucket_rows(classes, share).repartition("bucket")  # the two below share this exchange
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = settle(dealt.join(shared, "bucket", "left_semi"), "members")
-    involved = if_small(settle(members.select("cls").distinct(), "involved"))
-    sketches = classes.join(involved, "cls", "left_semi")
-    first = if_small(settle(sketches.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")), "firsts"))
+    numbered = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("one"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in parts])
+    classes = settle(numbered.select("set", "one", "copies", F.monotonically_increasing_id().alias("cls"), *parts), "classes")
+    first = if_small(classes.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")))
+    texts = hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text")
+    dealt = _bucket_rows(texts, width, share).repartition("bucket")  # the two below share this exchange
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("least"), F.max("cls").alias("most")).where("least != most")
+    named = settle(dealt.join(shared.select("bucket", "size"), "bucket").withColumn("component", F.col("cls")), "members")
+    involved = settle(named.select("cls").distinct().join(classes, "cls").select("cls", "one", *parts), "involved")
+    sketches = involved.select("cls", *parts)
+    first = if_small(involved.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")))
     texts = settle(hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text"), "texts")
-    sketches = sketches.select("cls", *parts)
 
-    named, links, joined = members.withColumn("component", F.col("cls")), None, None
+    links = joined = before = None
     pick = F.struct(F.col("cls").alias("hub"), F.col("component").alias("hub_component"))
     for hub in (F.min(pick), F.max(pick), F.min_by(pick, F.xxhash64("cls", F.lit(7))), None):
-        if hub is None:
-            pairs = settle(_tile_pairs(named, sketches, share), "pairs")
-        else:
-            hubs = settle(named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), hub.alias("h")).where("least != most").select("bucket", "h.*"), "hub")
-            pairs = settle(_hub_pairs(named, hubs, sketches, share), "pairs")
-            named = named.join(hubs.select("bucket", F.col("hub").alias("cls")), ["bucket", "cls"], "left_anti")
-        found = settle(_verified(pairs, texts, width, share), "verified")
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        named = named.drop("component").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("bucket")
-        named = settle(named.join(open_, "bucket", "left_semi"), "open")  # the buckets whose members are not all connected yet
-        if named.isEmpty():
+        hubs = settle(_open(named, hub.alias("h")).select("bucket", "size", "h.*"), "hub") if hub is not None else None
+        pairs = settle(_hub_pairs(named, hubs, sketches, share) if hubs is not None else _tile_pairs(named, sketches, share), "pairs")
+        found = _verified(pairs, texts, width, share)
+        last, links = links, settle(found if links is None else found.union(links), "verified")
+        if hubs is not None:
+            named, before = named.join(hubs.select("bucket", F.col("hub").alias("cls")), ["bucket", "cls"], "left_anti"), named
+        last_joined, joined = joined, components(links)
+        named = named.drop("component").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
+        open_ = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("size")).where("least != most").select("bucket", "size")
+        named = settle(_with_bucket(named, open_), "open")  # the buckets whose members are not all connected yet
+        forget(*[x for x in (before, hubs, pairs, last, last_joined) if x is not None])
+        if hubs is None or named.isEmpty():
             break
-    of_set = classes.select("set", "cls", "one").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("set", "one", F.coalesce("component", "cls").alias("component"))
+        before = named
+    forget(named, texts, involved, links)
+    of_set = classes.select("set", "cls", "one", "copies").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("set", "one", "copies", F.coalesce("component", "cls").alias("component"))
     head = of_set.groupBy("component").agg(F.min("one").alias("head"), F.min("one.id").alias("least"))
-    of_set = settle(of_set.join(head, "component").select("set", "head", "least"), "sets")
-    out = rows.select("id", "h", "n", "set").join(of_set, "set", "left")
+    of_set = settle(of_set.join(head, "component").select("set", "copies", "head", "least"), "sets")
+    hot = if_small(of_set.where(F.col("copies") > LOT).select("set", F.ceil(F.col("copies") / LOT).cast("int").alias("lots")))
+    lot = F.pmod(F.xxhash64("id", "h"), F.coalesce("lots", F.lit(1))).cast("int")
+    out = rows.select("id", "h", "n", "set").join(hot, "set", "left").withColumn("lot", lot).drop("lots")
+    dealt = of_set.withColumn("lot", F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > LOT, F.ceil(F.col("copies") / LOT)).otherwise(1).cast("int") - 1)))
+    out = out.join(dealt, ["set", "lot"], "left")
     own = F.struct(F.col("id").isNull().alias("last"), "id", "h")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.col("h").alias("text_hash"), F.when(F.col("n") > 0, own.eqNullSafe(F.col("head"))).otherwise(True).alias("representative"))
 

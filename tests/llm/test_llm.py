@@ -194,7 +194,7 @@ def test_jaccard_tiles_alone_are_exact(spark):
     share = Fraction("0.8")
     rows = jaccard.sketch_documents(df, width=2, threshold=share, id_col="id").collect()
     sketches = spark.createDataFrame([(r["id"], r["n"], r["band"], r["own"], r["up"]) for r in rows], "cls long, n long, band int, own array<long>, up array<long>")
-    members = spark.createDataFrame([(1, r["id"], r["id"]) for r in rows], "bucket long, cls long, component long")
+    members = spark.createDataFrame([(1, r["id"], r["id"], 12) for r in rows], "bucket long, cls long, component long, size long")
     old, jaccard.TILE = jaccard.TILE, 3
     try:
         pairs = {(r["a"], r["b"]) for r in jaccard._tile_pairs(members, sketches, share).collect()}
@@ -205,6 +205,21 @@ def test_jaccard_tiles_alone_are_exact(spark):
     assert linked and linked <= pairs
 
 
+def test_buckets_are_met_by_every_link():
+    """Sets that may be linked share a bucket, whatever words either leaves out."""
+    rng = np.random.default_rng(1)
+    for share in (Fraction("0.9"), Fraction("0.8"), Fraction("0.5")):
+        bands = jaccard.Bands(share)
+        for _ in range(300):
+            n = int(rng.integers(1, 400))
+            common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            extra = int(n * (1 - share) / share)
+            k = int(rng.integers(0, extra + 1))
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, m, dtype=np.uint64)])) for m in (k, extra - k))
+            if len(a) != len(b) or k or extra:
+                assert not extra or set(jaccard.bucket_keys(a, bands).tolist()) & set(jaccard.bucket_keys(b, bands).tolist())
+
+
 def test_jaccard_odd_tables(spark, odd, empty):
     out = jaccard.similar_components(odd).collect()
     assert len(out) == 9
