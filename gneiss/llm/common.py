@@ -40,6 +40,14 @@ def forget(*settled: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores at its end if df has a column of that name (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

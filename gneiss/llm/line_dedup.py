@@ -1,9 +1,11 @@
 """Cross-site boilerplate removal by line.
 
-Each line's spread is the number of distinct sites (sources) that have it. Lines are grouped by hash and site first, so that the
-number of groups of a line is its exact spread, and that decides. HyperLogLog sketches of the sites and the exact count near the
-threshold come after it and repeat the decision. Of a line that spreads over `min_sites` sites its first place is kept (smallest id, then
-smallest position), so that no text is lost altogether; its other places are removed.
+Each line's spread is the number of distinct sites (sources) that have it. Lines are hashed once. Those with at least `min_sites`
+occurrences are aggregated by hash into a HyperLogLog sketch of their sites, merged before the shuffle, so a line on a third of all
+documents costs a row a task. The estimate decides for lines far from the threshold; the sites of lines within `NEAR` of it are
+counted exactly. At 2 ** LG_K registers the relative standard error is 2.3 %, so a line outside that range is on the wrong
+side only if the estimate is off by more than 20 of these. Of a line that spreads over `min_sites` sites its first place is kept
+(smallest id, then smallest position), so that no text is lost altogether; its other places are removed.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import forget, fresh, if_small, settle, table
 
 MIN_SITES = 5
-NEAR = 0.3
+NEAR = 0.5
 LG_K = 11
+#: Places of one line that meet what is known of it in one lot.
+LOT = 4096
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -29,36 +33,55 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Dat
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col, site_col).alias("key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
 
 
+def _with_line(lines: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """lines with what is known of them (h1, h2, n: occurrences, and columns), LOT or so places of a line at a time."""
+    lots = F.ceil(F.col("n") / LOT).cast("int")
+    hot = if_small(known.where(F.col("n") > LOT).select("h1", "h2", lots.alias("lots")))
+    dealt = known.select("h1", "h2", *columns, F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
+    lot = F.pmod(F.xxhash64("key", "pos"), F.coalesce("lots", F.lit(1))).cast("int")
+    return lines.join(hot, ["h1", "h2"], "left").withColumn("lot", lot).drop("lots").join(dealt, ["h1", "h2", "lot"]).drop("lot")
+
+
 def boilerplate(lines: DataFrame, *, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
-    """h1, h2, first (the place that stays: id, pos, key) of the lines on at least `min_sites` sites."""
-    once = lines.groupBy("h1", "h2", "site").agg(F.min(F.struct("id", "pos", "key")).alias("first"))
-    sketched = once.groupBy("h1", "h2").agg(F.count("*").alias("pairs"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("first").alias("first"))
-    spread = settle(sketched.where(F.col("pairs") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
+    """h1, h2, n (occurrences), first (the place that stays: id, pos, key) of the lines on at least `min_sites` sites."""
+    often = settle(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites), "often")
+    found = _with_line(lines, often, "n").groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(F.struct("id", "pos", "key")).alias("first"), F.max("n").alias("n"))
+    spread = settle(found.select("h1", "h2", "n", "first", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + near))
     close = spread.where(F.col("sites").between(min_sites * (1 - near), min_sites * (1 + near)))
-    exact = once.select("h1", "h2", "site").join(close.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("exact"))
-    return sure.select("h1", "h2", "first").union(close.join(exact.where(F.col("exact") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first"))
+    sites = _with_line(lines, close).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
+    exact = sites.groupBy("h1", "h2").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
+    out = settle(sure.select("h1", "h2", "n", "first").union(close.join(exact, ["h1", "h2"]).select("h1", "h2", "n", "first")), "boilerplate")
+    forget(often, spread)
+    return out
+
+
+def without_lines(text: Column, removed: Column) -> Column:
+    """text without the lines at the places in `removed` (sorted, from 0), in time linear in the text."""
+    starts, ends = F.concat(F.array(F.lit(0)), F.transform(removed, lambda x: x + 1)), lambda p: F.concat(removed, F.array(F.size(p)))
+    kept = F.transform(F.array(F.split(text, "\n")), lambda p: F.flatten(F.zip_with(starts, ends(p), lambda a, b: F.slice(p, a + 1, b - a))))
+    return F.array_join(kept[0], "\n")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """All columns of docs, with the text without its boilerplate lines, and __n_lines and __n_removed (of the text's lines).
+    """All columns of docs, with the text without its boilerplate lines, and __n_lines and __n_removed (of the text's lines; columns
+    of docs with these names are replaced).
 
     Lines are parts between line feeds; they are compared without spaces, tabs and carriage returns at their ends, and blank
     ones are never removed. A null text stays null and has no lines; a null site counts as one site of its own. Rows with the same
     id, text and site are one document here: they keep or lose the same lines. Rows without a removed line stay as they are.
     """
     own = _prepared(docs, id_col, text_col, site_col)
-    lines = _lines(own.where("text is not null"))
-    spread = settle(boilerplate(lines, min_sites=min_sites), "boilerplate")
-    hit = lines.join(spread, ["h1", "h2"]).where(~F.struct("id", "pos", "key").eqNullSafe(F.col("first")))
-    removed = hit.groupBy("id", "key").agg(F.collect_set("pos").alias("__removed")).withColumnsRenamed({"id": "__id", "key": "__key"})
-    text = F.col(text_col)
-    joined = docs.join(removed, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col, site_col) == F.col("__key")), "left")
-    parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    n: Column = F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long")
-    out = [F.when(F.col("__removed").isNotNull(), kept).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, n.alias("__n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("__n_removed"))
+    lines = settle(_lines(own.where("text is not null")), "lines")
+    spread = boilerplate(lines, min_sites=min_sites)
+    hit = _with_line(lines, spread, "first").where(~F.struct("id", "pos", "key").eqNullSafe(F.col("first")))
+    names = {c: fresh(docs, f"__{c}") for c in ("id", "key", "removed")}
+    removed = hit.groupBy("id", "key").agg(F.array_sort(F.collect_set("pos")).alias("removed")).withColumnsRenamed(names)
+    text, gone = F.col(text_col), F.col(names["removed"])
+    joined = docs.join(removed, F.col(id_col).eqNullSafe(F.col(names["id"])) & (F.xxhash64(text_col, site_col) == F.col(names["key"])), "left")
+    n: Column = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    out = [F.when(gone.isNotNull(), without_lines(text, gone)).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("__n_lines", "__n_removed")]
+    return joined.select(*out, n.alias("__n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("__n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

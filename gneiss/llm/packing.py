@@ -1,8 +1,9 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity.
 
 The lengths' histogram (at most `capacity` rows, whatever the corpus) goes to the driver. There a configuration linear
-program over length classes is solved by multiplicative weights, priced by a knapsack dynamic program; its rounded-down
-configurations are filled with real lengths, and what is left goes best-fit into the remaining gaps. The result is a plan of
+program over the lengths is solved by multiplicative weights, priced by a knapsack dynamic program, until its value is within
+`tolerance` of the bound that the prices prove. Whole configurations are taken from it, the program is solved again over what
+rounding has left, and what is left in the end goes best-fit into the remaining gaps. The result is a plan of
 runs: "items r0..r1 of length n go to sequences s0.. at offset o". Spark ranks the pieces within their length by prefix sums
 over partitions and reads each place off the plan.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,41 +69,65 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
 
 
-def _best_config(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, Config]:
-    """Unbounded knapsack by dynamic programming: the most valuable multiset of sizes within room."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    for c in range(1, room + 1):
-        best[c] = best[c - 1]
-        if (k := int(np.searchsorted(sizes, c, side="right"))) and (got := best[c - sizes[:k]] + value[:k])[j := int(got.argmax())] > best[c]:
-            best[c], pick[c] = got[j], j
-    counts: dict[int, int] = defaultdict(int)
-    c = room
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            counts[int(pick[c])] += 1
-            c -= int(sizes[pick[c]])
-    return float(best[room]), tuple(sorted(counts.items(), reverse=True))
-
-
-def solve_configurations(demand: np.ndarray, sizes: np.ndarray, room: int, *, step: float = 0.2, sharpness: float = 6.0) -> tuple[dict[Config, float], float]:
-    """Fractional configurations that cover `demand`, and a lower bound on the sum of any such (from the best dual prices).
-
-    Multiplicative weights: a class of which the share `covered` is packed has the weight exp(-sharpness * covered), none
-    once all is. Each round prices the classes at weight / demand, takes the best configuration, and adds as much of it as
-    covers `step` of the demand of its scarcest class, so there are at most classes / step rounds.
+class _Knapsack:
+    """Unbounded knapsack by dynamic programming: the most valuable multiset of sizes within each room up to `room`."""
+
+    def __init__(self, value: np.ndarray, sizes: np.ndarray, room: int):
+        self.sizes = sizes
+        self.best, self.pick = np.zeros(room + 1), np.full(room + 1, -1)
+        upto = np.searchsorted(sizes, np.arange(room + 1), side="right")
+        for c in range(1, room + 1):
+            self.best[c] = self.best[c - 1]
+            if (k := int(upto[c])) and (got := self.best[c - sizes[:k]] + value[:k])[j := int(got.argmax())] > self.best[c]:
+                self.best[c], self.pick[c] = got[j], j
+
+    def config(self, c: int, *start: int) -> Config:
+        """The best multiset within c, and the classes given."""
+        counts = Counter(start)
+        while c > 0:
+            if (j := int(self.pick[c])) < 0:
+                c -= 1
+            else:
+                counts[j] += 1
+                c -= int(self.sizes[j])
+        return tuple(sorted(counts.items(), reverse=True))
+
+
+def solve_configurations(demand: np.ndarray, sizes: np.ndarray, room: int, *, tolerance: float = 0.01, passes: int = 12, columns: int = 64, rate: float = 0.5) -> tuple[dict[Config, float], float]:
+    """Fractional configurations that make up `demand` exactly, and a lower bound on the sum of any such (the best of all dual prices).
+
+    Multiplicative weights in passes. In a pass the classes' prices are fixed and those with demand left are priced by one knapsack
+    after another; the best configuration, and the best ones with each of the largest `columns` classes, are taken as far as demand
+    lasts. After a pass a class's price grows by exp(rate * w), with w the share of room that went empty beside it, so the classes
+    that were hard to place are placed earlier. It ends when the best pass is within `tolerance` of the bound.
     """
-    covered, used, bound = np.zeros(len(demand)), defaultdict(float), 0.0
-    while (open_ := covered < 1 - 1e-9).any():
-        value = np.where(open_, np.exp(-sharpness * covered), 0.0) / demand
-        got, config = _best_config(value, sizes, room)
-        bound = max(bound, float((value * demand).sum()) / got)
-        amount = min(min(step, 1 - covered[j]) * demand[j] / k for j, k in config if open_[j])
-        used[config] += amount
-        for j, k in config:
-            covered[j] += amount * k / demand[j]
-    return dict(used), bound
+    price = (sizes / room) ** 1.05
+    least, best, bound = np.inf, {}, float(demand @ sizes) / room
+    for _ in range(passes):
+        left, used, waste = demand.astype(float), defaultdict(float), np.zeros(len(sizes))
+        while (open_ := np.flatnonzero(left > 1e-9)).size:
+            sack = _Knapsack(price[open_], sizes[open_], room)
+            if open_.size == len(sizes):
+                bound = max(bound, float(price @ demand) / sack.best[room])
+            found = [sack.config(room)] + [sack.config(room - int(sizes[open_[j]]), j) for j in range(len(open_) - 1, max(-1, len(open_) - 1 - columns), -1)]
+            for config in dict.fromkeys(found):
+                own = tuple((int(open_[j]), k) for j, k in config)
+                amount = min(left[j] / k for j, k in own)
+                if amount <= 1e-9:
+                    continue
+                if amount > 1:
+                    amount = float(int(amount + 1e-9))
+                used[own] += amount
+                empty = 1 - sum(int(sizes[j]) * k for j, k in own) / room
+                for j, k in own:
+                    left[j] -= amount * k
+                    waste[j] += amount * k * empty
+        if (total := sum(used.values())) < least:
+            least, best = total, dict(used)
+        if least <= bound * (1 + tolerance):
+            break
+        price = price * np.exp(rate * waste / demand)
+    return best, bound
 
 
 class _Plan:
@@ -114,6 +139,7 @@ class _Plan:
         self.runs: list[tuple[int, int, int, int, int]] = []
         self.gaps: list[int] = []
         self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.by_program = 0
 
     def put(self, length: int, first: int, n: int, used: int) -> None:
         """n items of one length, one each to sequences first.. at offset `used`."""
@@ -170,27 +196,39 @@ class _Plan:
                             self.sequences += n
 
 
-def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 8) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(length, first rank, items, first sequence, offset) runs that place every item, and the number of sequences.
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 1, rounds: int = 4) -> _Plan:
+    """A plan that places every item; by_program: how many of them stand in whole configurations.
 
-    Lengths are classed by `grain` tokens for the linear program, rounded up. Rounding keeps whole configurations only, and of
-    each all but its two smallest slots (one slot at least): real lengths are shorter than their class, and best fit closes
-    the gaps to the token where a slot would leave waste.
+    Lengths are classed by `grain` tokens, rounded up. The amounts of configurations are rounded down, and the program is solved again
+    for the items that this leaves, `rounds` times at most; then best fit places the rest. Where best fit alone needs fewer sequences
+    (it has been seen to on a few hundred items), its plan is taken.
     """
     plan = _Plan(counts, capacity)
     classes: dict[int, list[int]] = defaultdict(list)
     for length in sorted(counts, reverse=True):
         classes[-(-length // grain)].append(length)
-    sizes = np.array(sorted(classes))
     room = capacity // grain
-    if room and len(sizes) and sizes[-1] <= room:
-        demand = np.array([sum(counts[x] for x in classes[s]) for s in sizes], dtype=float)
-        used, _ = solve_configurations(demand, sizes, room)
-        for config, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-            if n := int(amount):
-                slots = [classes[int(sizes[j])] for j, k in config for _ in range(k)]
-                plan.fill(slots[: max(1, len(slots) - 2)], n)
+    for _ in range(rounds):
+        left = {s: n for s in sorted(classes) if (n := sum(plan.left[x] for x in classes[s]))}
+        sizes = np.array(list(left), dtype=np.int64)
+        if not len(sizes) or sizes[-1] > room:
+            break
+        used, _ = solve_configurations(np.array(list(left.values()), dtype=float), sizes, room)
+        whole = [(int(amount + 1e-9), config) for config, amount in used.items() if amount > 1 - 1e-9]
+        for n, config in sorted(whole, reverse=True):
+            plan.fill([classes[int(sizes[j])] for j, k in config for _ in range(k)], n)
+        if not whole:
+            break
+    plan.by_program = sum(counts.values()) - sum(plan.left.values())
     plan.best_fit()
+    plain = _Plan(counts, capacity)
+    plain.best_fit()
+    return plain if plain.sequences < plan.sequences else plan
+
+
+def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 1) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(length, first rank, items, first sequence, offset) runs that place every item, and the number of sequences."""
+    plan = make_plan(counts, capacity, grain=grain)
     return plan.runs, plan.sequences
 
 

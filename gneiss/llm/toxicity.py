@@ -147,7 +147,7 @@ def label_rows(docs: DataFrame, labels: DataFrame, learn, *, id_col: str = "doc_
 
 
 def with_scores(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of docs and the score of each row's text; null and empty texts have one too. The score column may not be one of docs'."""
+    """All columns of docs and the score of each row's text; null and empty texts have one too. A column of docs with the score's name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights
 
     @F.pandas_udf("double")

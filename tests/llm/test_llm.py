@@ -105,6 +105,27 @@ def test_packing_program():
         assert sum(r[2] for r in runs) == 200 and n <= math.ceil(sum(k * v for k, v in counts.items()) / 64 * 1.1) + 1
 
 
+def test_packing_program_beats_best_fit():
+    """Whole configurations place the pieces, and need fewer sequences than best fit where that is far from the optimum."""
+    for k in (1, 50, 5000):
+        counts = {51: 6 * k, 27: 6 * k, 26: 6 * k, 23: 12 * k}
+        plan, plain = packing.make_plan(counts, 100), packing._Plan(counts, 100)
+        plain.best_fit()
+        assert plan.sequences == 9 * k < plain.sequences and plan.by_program == 30 * k
+        used, bound = packing.solve_configurations(np.array([12.0 * k, 6 * k, 6 * k, 6 * k]), np.array([23, 26, 27, 51]), 100)
+        assert sum(used.values()) <= 1.01 * bound and bound <= 9 * k + 1e-6
+
+
+def test_packing_program_on_texts(spark, sf):
+    """On real lengths the fractional optimum is within 1 % of its bound and configurations place nine tenths of the pieces."""
+    counts = {r["length"]: r["count"] for r in packing.pieces(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("length").count().collect()}
+    counts = {n: 40 * c for n, c in counts.items()}
+    used, bound = packing.solve_configurations(np.array([counts[n] for n in sorted(counts)], dtype=float), np.array(sorted(counts)), 2048)
+    assert sum(used.values()) <= 1.01 * bound
+    plan = packing.make_plan(counts)
+    assert plan.by_program >= 0.9 * sum(counts.values()) and plan.sequences <= math.ceil(bound * 1.01)
+
+
 def test_toxicity(spark, sf, odd, empty):
     rng = random.Random(1)
     words = ["stone", "river", "cloud", "house", "paper", "light"]
@@ -122,6 +143,8 @@ def test_toxicity(spark, sf, odd, empty):
     out = toxicity.toxicity(odd.drop("score"), labels, F.lit(True)).collect()
     assert len(out) == 9 and all(r["score"] is not None for r in out)
     assert toxicity.toxicity(empty.drop("score"), labels, F.lit(True)).count() == 0
+    clash = toxicity.toxicity(odd, labels, F.lit(True))
+    assert clash.columns.count("score") == 1 and dict(clash.dtypes)["score"] == "double" and clash.count() == 9
     assert {c: t for c, t in queries.QUERIES["op1_toxicity"](spark, sf).dtypes} == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
 
 
@@ -147,6 +170,29 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_through_sketches(spark):
+    """Lines below, at and far above the threshold, on few and on many sites, and a text of very many boilerplate lines."""
+    rng = random.Random(7)
+    rows = [(i, "\n".join(sorted({f"line {rng.randrange(60)}" for _ in range(rng.randrange(0, 9))} | ({"everywhere"} if i % 3 else set()))), "en", f"s{rng.randrange(200) if i % 2 else rng.randrange(3)}", 0) for i in range(400)]
+    rows.append((1000, "\n".join(["everywhere", "own"] * 40_000), "en", "s0", 0))
+    sites, first = collections.defaultdict(set), {}
+    for i, text, _, site, _ in rows:
+        for at, line in enumerate(text.split("\n")):
+            if line:
+                sites[line].add(site)
+                first.setdefault(line, (i, at))
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, text, *_ in rows:
+        kept = [x for at, x in enumerate(text.split("\n")) if not x or len(sites[x]) < 5 or first[x] == (i, at)]
+        assert out[i]["text"] == "\n".join(kept) and out[i]["__n_removed"] == len(text.split("\n")) - len(kept)
+
+
+def test_line_dedup_clashing_names(spark, odd):
+    more = odd.select("*", *[F.lit(0).alias(c) for c in ("__id", "__key", "__removed", "__n_lines", "lot", "first")])
+    out = line_dedup.dedup_lines(more)
+    assert set(out.columns) == set(more.columns) | {"__n_removed"} and out.where("__n_lines > 0").count() == 8
+
+
 def brute_components(texts, width, threshold):
     sets = {}
     for i, t in texts.items():
