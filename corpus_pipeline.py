@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import fold, settle, table
+from gneiss.llm.common import fold, fresh, settle, table
 from gneiss.llm.decontamination import contamination
 from gneiss.llm.jaccard import similar_components
 from gneiss.llm.line_dedup import dedup_lines
@@ -30,15 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 1/2; learnt from labelled ones outside the held-out fold."""
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     model = fit(label_rows(docs, table(spark, sf_dir, "labels"), ~held_out))
-    scored = with_scores(docs, model, score_col="__score")
-    return scored.where("__score < 0.5").drop("__score")
+    score = fresh(docs, "score")
+    return with_scores(docs, model, score_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site lines, except at their first place; n_chars follows. A document of nothing but such lines, all of
     which stay elsewhere, goes."""
     found = dedup_lines(docs)
-    changed = F.col("__n_removed") > 0
+    changed = F.col("__n_removed") > 0  # dedup_lines' own column
     found = found.where(~(changed & (F.trim("text") == "")))
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
@@ -46,16 +46,18 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     found = similar_components(docs, width=SHINGLE_WORDS, threshold=SIMILARITY)
-    kept = found.where("representative").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    marked = docs.withColumn("__at", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__hash"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__at"]).select(docs.columns)
+    at, own, hashed = (fresh(docs, c) for c in ("at", "own", "hashed"))
+    kept = found.where("representative").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
+    marked = docs.withColumn(at, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(at) == F.col(hashed))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", at]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are less than a twentieth."""
     scan = contamination(table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("__found", scan("text")).where("not __found.contaminated").drop("__found")
+    found = fresh(docs, "found")
+    return docs.withColumn(found, scan("text")).where(~F.col(f"{found}.contaminated")).drop(found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
