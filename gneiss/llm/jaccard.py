@@ -237,6 +237,17 @@ def _open(members: DataFrame, *more: Column) -> DataFrame:
     return each.where("least != most").drop("least", "most")
 
 
+def _print(*columns: str) -> list[Column]:
+    """Aggregates that tell sets of classes apart: three sums of hashes."""
+    return [F.sum(F.pmod(F.xxhash64("cls", F.lit(k)), F.lit(1 << 31))).alias(c) for k, c in enumerate(columns)]
+
+
+def _one_of_equals(buckets: DataFrame) -> DataFrame:
+    """bucket, size: one of the buckets (bucket, size, p, q, r) with the same members. Texts with a passage in common meet in one bucket
+    for each of its words, which would all be compared alike."""
+    return buckets.groupBy("size", "p", "q", "r").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+
+
 def _hub_pairs(members: DataFrame, hubs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: each bucket's hub with those of its members that lie in other components, if their sketches allow a link."""
     pairs = _with_bucket(members, hubs).where("cls != hub and component != hub_component").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
@@ -247,7 +258,8 @@ def _hub_pairs(members: DataFrame, hubs: DataFrame, sketches: DataFrame, thresho
 def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: all pairs of different components in one bucket whose sketches allow a link, compared in tiles of two times TILE rows."""
     p, q = threshold.numerator, threshold.denominator
-    sizes = _open(members, F.count("*").alias("left"))
+    left = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("all"), *_print("p", "q", "r")).where("least != most")
+    sizes = _one_of_equals(left).withColumnRenamed("size", "left").join(left.select("bucket", F.col("all").alias("size")), "bucket")
     open_ = _with_bucket(members, sizes).withColumn("tiles", F.ceil(F.col("left") / TILE).cast("int"))
     open_ = open_.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     dealt = open_.select("bucket", "cls", "component", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
@@ -345,8 +357,8 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: float = 0.
     first = if_small(classes.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")))
     texts = hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text")
     dealt = _bucket_rows(texts, width, share).repartition("bucket")  # the two below share this exchange
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("least"), F.max("cls").alias("most")).where("least != most")
-    named = settle(dealt.join(shared.select("bucket", "size"), "bucket").withColumn("component", F.col("cls")), "members")
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("least"), F.max("cls").alias("most"), *_print("p", "q", "r")).where("least != most")
+    named = settle(dealt.join(_one_of_equals(shared), "bucket").withColumn("component", F.col("cls")), "members")
     involved = settle(named.select("cls").distinct().join(classes, "cls").select("cls", "one", *parts), "involved")
     sketches = involved.select("cls", *parts)
     first = if_small(involved.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")))

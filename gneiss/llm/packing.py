@@ -93,19 +93,20 @@ class _Knapsack:
         return tuple(sorted(counts.items(), reverse=True))
 
 
-def solve_configurations(demand: np.ndarray, sizes: np.ndarray, room: int, *, tolerance: float = 0.01, passes: int = 12, columns: int = 64, rate: float = 0.5) -> tuple[dict[Config, float], float]:
+def solve_configurations(demand: np.ndarray, sizes: np.ndarray, room: int, *, tolerance: float = 0.01, passes: int = 12, columns: int = 256, rate: float = 0.5) -> tuple[dict[Config, float], float]:
     """Fractional configurations that make up `demand` exactly, and a lower bound on the sum of any such (the best of all dual prices).
 
     Multiplicative weights in passes. In a pass the classes' prices are fixed and those with demand left are priced by one knapsack
     after another; the best configuration, and the best ones with each of the largest `columns` classes, are taken as far as demand
-    lasts. After a pass a class's price grows by exp(rate * w), with w the share of room that went empty beside it, so the classes
+    lasts. The last part of the demand, a small share of `tolerance`, is made up of configurations of one class. After a pass a class's price grows by exp(rate * w), with w the share of room that went empty beside it, so the classes
     that were hard to place are placed earlier. It ends when the best pass is within `tolerance` of the bound.
     """
     price = (sizes / room) ** 1.05
     least, best, bound = np.inf, {}, float(demand @ sizes) / room
     for _ in range(passes):
         left, used, waste = demand.astype(float), defaultdict(float), np.zeros(len(sizes))
-        while (open_ := np.flatnonzero(left > 1e-9)).size:
+        while float(left @ sizes) > 0.3 * tolerance * float(demand @ sizes):
+            open_ = np.flatnonzero(left > 1e-9)
             sack = _Knapsack(price[open_], sizes[open_], room)
             if open_.size == len(sizes):
                 bound = max(bound, float(price @ demand) / sack.best[room])
@@ -122,6 +123,8 @@ def solve_configurations(demand: np.ndarray, sizes: np.ndarray, room: int, *, to
                 for j, k in own:
                     left[j] -= amount * k
                     waste[j] += amount * k * empty
+        for j in np.flatnonzero(left > 1e-9).tolist():
+            used[(j, room // int(sizes[j])),] += left[j] / (room // int(sizes[j]))
         if (total := sum(used.values())) < least:
             least, best = total, dict(used)
         if least <= bound * (1 + tolerance):
@@ -196,7 +199,7 @@ class _Plan:
                             self.sequences += n
 
 
-def make_plan(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 1, rounds: int = 4) -> _Plan:
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 1, rounds: int = 2) -> _Plan:
     """A plan that places every item; by_program: how many of them stand in whole configurations.
 
     Lengths are classed by `grain` tokens, rounded up. The amounts of configurations are rounded down, and the program is solved again
