@@ -7,8 +7,8 @@ is sketched for that band too. All sketches of a band have P words of 64 bits, a
 link there allows. A differing shingle touches one word, so two linked classes agree in at least P - d words: they meet in a
 bucket (band, word's place, word). P - d - 1 words of a class need no bucket: those without shingles, and as many at the end.
 
-Only buckets are made of whole sketches; what stays beside a class is a short sketch for each of its bands, with about eight bits
-for each allowed difference, whose Hamming distance is a lower bound as well.
+Only buckets are made of whole sketches. Classes that meet others have a short sketch for each of their bands, with about three bits
+for each allowed difference, whose Hamming distance is a lower bound as well; a bucket's members are compared by those of its band.
 
 Buckets are not expanded into pairs. Hubs first: each bucket's smallest class, then its largest, then another one, is held
 against those of its members that are not yet known to be connected to it; groups of near copies are joined by that. A hub is
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import forget, if_small, settle, table
@@ -140,7 +140,7 @@ class Bands:
 
     def short_words(self, band: int) -> int:
         d = self.differences(band)
-        return d // 8 + 1 if d else 0
+        return 3 * d // 64 + 1 if d else 0
 
 
 def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
@@ -151,33 +151,40 @@ def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
-def sketch_documents(docs: DataFrame, *, width: int, threshold: Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), cls (hash of the set), band, own and up (short sketches for the set's band, as one of the larger or of its
-    equals, and for the band above, as one of the smaller; null where no other set can be linked)."""
+def hash_sets(docs: DataFrame, *, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n (set size), cls (hash of the set, null for an empty one)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(threshold)
         for b in batches:
-            n, cls, band, own, up = [], [], [], [], []
-            for s in shingle_sets(b.column(1).to_pylist(), width):
-                k = bands.of(len(s)) if len(s) else 0
-                n.append(len(s))
-                band.append(k)
-                cls.append(np.uint64(_mix(np.array([_mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]).view(np.int64) if len(s) else None)
-                sides = bands.sides(len(s)) if len(s) else []
-                for out, at in ((own, k), (up, k + 1)):
-                    words = bands.short_words(at) if at in sides else 0
-                    out.append(parity_sketch(s, words).view("<i8") if words else None)
-            arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(up, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "cls", "band", "own", "up"])
+            sets = [(len(s), np.uint64(_mix(np.array([_mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]).view(np.int64) if len(s) else None) for s in shingle_sets(b.column(1).to_pylist(), width)]
+            n, cls = zip(*sets, strict=True) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["id", "n", "cls"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(work, f"id {kind}, n long, cls long, band int, own array<long>, up array<long>")
+    return own.mapInArrow(work, f"id {kind}, n long, cls long")
+
+
+def short_sketches(texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """cls, at, band, n, sketch of the classes' texts (cls, text): a row for each band `at` for which a class is sketched."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(threshold)
+        for b in batches:
+            rows = []
+            for cls, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), width), strict=True):
+                for at in bands.sides(len(s)) if len(s) else ():
+                    if words := bands.short_words(at):
+                        rows.append((cls, at, bands.of(len(s)), len(s), parity_sketch(s, words).view("<i8")))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cls", "at", "band", "n", "sketch"])
+
+    return texts.select("cls", "text").mapInArrow(work, "cls long, at int, band int, n long, sketch array<long>")
 
 
 def bucket_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The buckets of a set, numbers of 44 bits (buckets that fall together only cost a look).
+    """The buckets of a set: 48 bits of a hash (buckets that fall together only cost a look), and the band in the last 10.
 
     Of a band's P words, linked sets agree in P - d. A set leaves out words that are 0 and then a run of words at the end, P - d - 1
     in all. What two sets that agree leave out together of the words in which they agree is what the one with the longer run leaves
@@ -196,7 +203,7 @@ def bucket_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
             kept = kept[: words - int(np.searchsorted(tail, spare - empty, side="right"))]
             kept = kept[sketch[kept] != 0]
         place = np.uint64(band * 0x9E3779B97F4A7C15 % (1 << 64)) + kept.astype(np.uint64)
-        out.append(_mix(_mix(place) + sketch[kept]) >> np.uint64(20))
+        out.append((_mix(_mix(place) + sketch[kept]) >> np.uint64(16)) << np.uint64(10) | np.uint64(band))
     return np.concatenate(out)
 
 
@@ -214,14 +221,16 @@ def _bucket_rows(texts: DataFrame, width: int, threshold: Fraction) -> DataFrame
     return texts.select("cls", "text").mapInArrow(work, "bucket long, cls long")
 
 
+#: The band of a bucket.
+AT = "cast(bucket & 1023 as int)"
+
+
 def _similar(a: str, b: str, threshold: Fraction) -> Column:
-    """Whether two classes' sizes and sketches allow a link."""
+    """Whether two classes' sizes and sketches allow a link, for which the band of the larger one is looked at."""
     p, q = threshold.numerator, threshold.denominator
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    x = F.when(F.col(f"{a}.band") >= F.col(f"{b}.band"), F.col(f"{a}.own")).otherwise(F.col(f"{a}.up"))
-    y = F.when(F.col(f"{b}.band") >= F.col(f"{a}.band"), F.col(f"{b}.own")).otherwise(F.col(f"{b}.up"))
-    apart = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    return (q * F.least(n, m) >= p * F.greatest(n, m)) & (F.abs(F.col(f"{a}.band") - F.col(f"{b}.band")) <= 1) & (apart * (p + q) <= (n + m) * (q - p))
+    apart = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    return (F.greatest(f"{a}.band", f"{b}.band") == F.col(f"{a}.at")) & (q * F.least(n, m) >= p * F.greatest(n, m)) & (apart * (p + q) <= (n + m) * (q - p))
 
 
 def _with_bucket(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -250,9 +259,9 @@ def _one_of_equals(buckets: DataFrame) -> DataFrame:
 
 def _hub_pairs(members: DataFrame, hubs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: each bucket's hub with those of its members that lie in other components, if their sketches allow a link."""
-    pairs = _with_bucket(members, hubs).where("cls != hub and component != hub_component").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    one = pairs.join(sketches.select("cls", "n", "band", "own", "up").alias("x"), F.col("a") == F.col("x.cls"))
-    return one.join(sketches.alias("y"), F.col("b") == F.col("y.cls")).where(_similar("x", "y", threshold)).select("a", "b")
+    pairs = _with_bucket(members, hubs).where("cls != hub and component != hub_component").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), F.expr(AT).alias("met")).distinct()
+    one = pairs.join(sketches.alias("x"), (F.col("a") == F.col("x.cls")) & (F.col("met") == F.col("x.at")))
+    return one.join(sketches.alias("y"), (F.col("b") == F.col("y.cls")) & (F.col("met") == F.col("y.at"))).where(_similar("x", "y", threshold)).select("a", "b").distinct()
 
 
 def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -266,41 +275,34 @@ def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) ->
     dealt = dealt.select("bucket", "cls", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
 
     def compare(t: pa.Table) -> pa.Table:
-        bucket, i, j = (t.column(c).to_numpy() for c in ("bucket", "i", "j"))
-        order = np.lexsort((j, i, bucket))
-        bucket, i, j = bucket[order], i[order], j[order]
-        t = t.take(pa.array(order))
-        cls, component, tile, n, band = (t.column(c).to_numpy() for c in ("cls", "component", "tile", "n", "band"))
-        own, up = ([np.array(x or (), dtype=np.int64) for x in t.column(c).to_pylist()] for c in ("own", "up"))
+        t = t.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        bucket, i, j, cls, component, tile, n, band, at = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "cls", "component", "tile", "n", "band", "at"))
+        lists = t.column("sketch").combine_chunks()
+        flat, begin = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         out: set[tuple[int, int]] = set()
         cuts = [0, *(np.flatnonzero(np.diff(bucket) | np.diff(i) | np.diff(j)) + 1).tolist(), len(bucket)]
         for first, last in zip(cuts, cuts[1:], strict=False):
-            by_band: dict[int, list[int]] = {}
-            for k in range(first, last):
-                by_band.setdefault(int(band[k]), []).append(k)
-            for low, rows in by_band.items():
-                for high in (low, low + 1):
-                    columns = np.array(by_band.get(high, ()), dtype=np.int64)
-                    if not len(columns):
-                        continue
-                    right = np.stack([own[c] for c in columns])
-                    for r in rows:
-                        left = own[r] if low == high else up[r]
-                        if not len(left):
-                            continue
-                        ok = (component[columns] != component[r]) & (cls[columns] != cls[r]) & (q * np.minimum(n[columns], n[r]) >= p * np.maximum(n[columns], n[r]))
-                        if i[r] != j[r]:
-                            ok &= tile[columns] != tile[r]
-                        c = columns[ok]
-                        apart = np.bitwise_count((right[ok] ^ left).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                        for x in cls[c[apart * (p + q) <= (n[c] + n[r]) * (q - p)]].tolist():
-                            out.add((min(int(cls[r]), x), max(int(cls[r]), x)))
+            if last - first < 2:
+                continue
+            sketch = flat[begin[first] : begin[last]].reshape(last - first, -1)  # of one band, so of one length
+            x, y = np.triu_indices(last - first, 1)
+            u, v = x + first, y + first
+            ok = (component[u] != component[v]) & (q * np.minimum(n[u], n[v]) >= p * np.maximum(n[u], n[v])) & (np.maximum(band[u], band[v]) == at[first])
+            if i[first] != j[first]:
+                ok &= tile[u] != tile[v]
+            x, y, u, v = x[ok], y[ok], u[ok], v[ok]
+            for k in range(0, len(x), 1 << 14):
+                own = slice(k, k + (1 << 14))
+                apart = np.bitwise_count(sketch[x[own]] ^ sketch[y[own]]).sum(axis=1, dtype=np.int64)
+                near = apart * (p + q) <= (n[u[own]] + n[v[own]]) * (q - p)
+                a, b = cls[u[own][near]], cls[v[own][near]]
+                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     lots = max(1, dealt.count() // (2 * TILE))  # small buckets share a lot
-    found = dealt.withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots))).join(sketches, "cls").groupBy("lot").applyInArrow(compare, "a long, b long")
-    return found.distinct()
+    found = dealt.withColumn("at", F.expr(AT)).join(sketches, ["cls", "at"]).withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots)))
+    return found.groupBy("lot").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
@@ -347,22 +349,24 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: float = 0.
     share = Fraction(str(threshold))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = docs.withColumn("h", F.xxhash64("text"))
-    # A pass over the texts for sizes, classes and short sketches; the classes' texts make the buckets in a second one.
-    rows = settle(sketch_documents(hashed.select(F.struct("id", "h").alias("key"), "text"), width=width, threshold=share, id_col="key"), "sketches")
-    rows = rows.select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), "n", F.col("cls").alias("set"), "band", "own", "up")
-    parts = ("n", "band", "own", "up")
+    # A pass over the texts for sizes and classes; the classes' texts make the buckets in a second one.
+    rows = settle(hash_sets(hashed.select(F.struct("id", "h").alias("key"), "text"), width=width, id_col="key"), "sets")
+    rows = rows.select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), "n", F.col("cls").alias("set"))
     # Classes are numbered: numbers are smaller in shuffles than hashes. The same number follows a set everywhere.
-    numbered = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("one"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in parts])
-    classes = settle(numbered.select("set", "one", "copies", F.monotonically_increasing_id().alias("cls"), *parts), "classes")
+    numbered = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("one"), F.count("*").alias("copies"))
+    classes = settle(numbered.select("set", "one", "copies", F.monotonically_increasing_id().alias("cls")), "classes")
     first = if_small(classes.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")))
     texts = hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text")
-    dealt = _bucket_rows(texts, width, share).repartition("bucket")  # the two below share this exchange
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("least"), F.max("cls").alias("most"), *_print("p", "q", "r")).where("least != most")
-    named = settle(dealt.join(_one_of_equals(shared), "bucket").withColumn("component", F.col("cls")), "members")
-    involved = settle(named.select("cls").distinct().join(classes, "cls").select("cls", "one", *parts), "involved")
-    sketches = involved.select("cls", *parts)
-    first = if_small(involved.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")))
+    in_bucket = Window.partitionBy("bucket")
+    dealt = _bucket_rows(texts, width, share).select("bucket", "cls", F.count("*").over(in_bucket).alias("size"), F.min("cls").over(in_bucket).alias("least"), F.max("cls").over(in_bucket).alias("most"))
+    members = settle(dealt.where("least != most").select("bucket", "cls", "size"), "members")
+    kept = _one_of_equals(members.groupBy("bucket").agg(F.max("size").alias("size"), *_print("p", "q", "r")))
+    named = settle(_with_bucket(members, kept).withColumn("component", F.col("cls")), "open")
+    involved = named.select("cls").distinct().join(classes, "cls")
+    first = if_small(settle(involved.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")), "involved"))
     texts = settle(hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text"), "texts")
+    sketches = settle(short_sketches(texts, width, share), "sketches")
+    forget(members)
 
     links = joined = before = None
     pick = F.struct(F.col("cls").alias("hub"), F.col("component").alias("hub_component"))
@@ -381,7 +385,7 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: float = 0.
         if hubs is None or named.isEmpty():
             break
         before = named
-    forget(named, texts, involved, links)
+    forget(named, texts, sketches, links)
     of_set = classes.select("set", "cls", "one", "copies").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("set", "one", "copies", F.coalesce("component", "cls").alias("component"))
     head = of_set.groupBy("component").agg(F.min("one").alias("head"), F.min("one.id").alias("least"))
     of_set = settle(of_set.join(head, "component").select("set", "copies", "head", "least"), "sets")

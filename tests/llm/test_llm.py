@@ -238,9 +238,9 @@ def test_jaccard_tiles_alone_are_exact(spark):
     texts = {k: " ".join(w if rng.random() > 0.02 else f"x{k}" for w in base) for k in range(12)}
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
     share = Fraction("0.8")
-    rows = jaccard.sketch_documents(df, width=2, threshold=share, id_col="id").collect()
-    sketches = spark.createDataFrame([(r["id"], r["n"], r["band"], r["own"], r["up"]) for r in rows], "cls long, n long, band int, own array<long>, up array<long>")
-    members = spark.createDataFrame([(1, r["id"], r["id"], 12) for r in rows], "bucket long, cls long, component long, size long")
+    sketches = jaccard.short_sketches(df.withColumnRenamed("id", "cls"), 2, share)
+    rows = [((1 << 10) + r["at"], r["cls"], r["cls"], 12) for r in sketches.collect()]
+    members = spark.createDataFrame(rows, "bucket long, cls long, component long, size long")
     old, jaccard.TILE = jaccard.TILE, 3
     try:
         pairs = {(r["a"], r["b"]) for r in jaccard._tile_pairs(members, sketches, share).collect()}
