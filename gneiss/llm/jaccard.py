@@ -265,44 +265,54 @@ def _hub_pairs(members: DataFrame, hubs: DataFrame, sketches: DataFrame, thresho
 
 
 def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: all pairs of different components in one bucket whose sketches allow a link, compared in tiles of two times TILE rows."""
+    """a, b: all pairs of different components in one bucket whose sketches allow a link, compared in tiles of two times TILE rows.
+
+    Tiles of buckets with the same smallest class share a lot, and a class's sketch comes to a lot once, however many of the lot's
+    tiles it is in.
+    """
     p, q = threshold.numerator, threshold.denominator
-    left = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("all"), *_print("p", "q", "r")).where("least != most")
-    sizes = _one_of_equals(left).withColumnRenamed("size", "left").join(left.select("bucket", F.col("all").alias("size")), "bucket")
+    left = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("all"), F.min("cls").alias("head"), *_print("p", "q", "r")).where("least != most")
+    sizes = _one_of_equals(left).withColumnRenamed("size", "left").join(left.select("bucket", "head", F.col("all").alias("size")), "bucket")
     open_ = _with_bucket(members, sizes).withColumn("tiles", F.ceil(F.col("left") / TILE).cast("int"))
     open_ = open_.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    dealt = open_.select("bucket", "cls", "component", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("bucket", "cls", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    dealt = open_.select("bucket", "head", "cls", "component", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("bucket", "head", "cls", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        bucket, i, j, cls, component, tile, n, band, at = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "cls", "component", "tile", "n", "band", "at"))
-        lists = t.column("sketch").combine_chunks()
-        flat, begin = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        t = t.combine_chunks()
+        cls, component, n, band = (t.column(c).to_numpy() for c in ("cls", "component", "n", "band"))
+        lists, places = t.column("sketch").combine_chunks(), t.column("tiles").combine_chunks()
+        flat, begin, width = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(t)), places.value_lengths().to_numpy())
+        bucket, i, j, tile = (places.flatten().field(c).to_numpy() for c in ("bucket", "i", "j", "tile"))
+        order = np.lexsort((j, i, bucket))
+        row, bucket, i, j, tile = (x[order] for x in (row, bucket, i, j, tile))
         out: set[tuple[int, int]] = set()
-        cuts = [0, *(np.flatnonzero(np.diff(bucket) | np.diff(i) | np.diff(j)) + 1).tolist(), len(bucket)]
+        cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(bucket)]
         for first, last in zip(cuts, cuts[1:], strict=False):
             if last - first < 2:
                 continue
-            sketch = flat[begin[first] : begin[last]].reshape(last - first, -1)  # of one band, so of one length
+            own, at = row[first:last], int(bucket[first]) & 1023
+            sketch = flat[begin[own][:, None] + np.arange(width[own[0]])]  # of one band, so of one length
             x, y = np.triu_indices(last - first, 1)
-            u, v = x + first, y + first
-            ok = (component[u] != component[v]) & (q * np.minimum(n[u], n[v]) >= p * np.maximum(n[u], n[v])) & (np.maximum(band[u], band[v]) == at[first])
+            u, v = own[x], own[y]
+            ok = (component[u] != component[v]) & (q * np.minimum(n[u], n[v]) >= p * np.maximum(n[u], n[v])) & (np.maximum(band[u], band[v]) == at)
             if i[first] != j[first]:
-                ok &= tile[u] != tile[v]
+                ok &= tile[first:last][x] != tile[first:last][y]
             x, y, u, v = x[ok], y[ok], u[ok], v[ok]
             for k in range(0, len(x), 1 << 14):
-                own = slice(k, k + (1 << 14))
-                apart = np.bitwise_count(sketch[x[own]] ^ sketch[y[own]]).sum(axis=1, dtype=np.int64)
-                near = apart * (p + q) <= (n[u[own]] + n[v[own]]) * (q - p)
-                a, b = cls[u[own][near]], cls[v[own][near]]
+                part = slice(k, k + (1 << 14))
+                apart = np.bitwise_count(sketch[x[part]] ^ sketch[y[part]]).sum(axis=1, dtype=np.int64)
+                near = apart * (p + q) <= (n[u[part]] + n[v[part]]) * (q - p)
+                a, b = cls[u[part][near]], cls[v[part][near]]
                 out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    lots = max(1, dealt.count() // (2 * TILE))  # small buckets share a lot
-    found = dealt.withColumn("at", F.expr(AT)).join(sketches, ["cls", "at"]).withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots)))
-    return found.groupBy("lot").applyInArrow(compare, "a long, b long").distinct()
+    lots = max(1, dealt.count() // (64 * TILE))  # small buckets share a lot
+    lot = F.pmod(F.xxhash64("head", "i", "j"), F.lit(lots)).alias("lot")
+    once = dealt.groupBy(lot, "cls", F.expr(AT).alias("at")).agg(F.first("component").alias("component"), F.collect_list(F.struct("bucket", "i", "j", "tile")).alias("tiles"))
+    return once.join(sketches, ["cls", "at"]).groupBy("lot").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
