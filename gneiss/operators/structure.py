@@ -57,7 +57,7 @@ def pack_units(units: Column, limit: int, joiner: str = "\n\n") -> Column:
 def dedupe_ids(rows: DataFrame, id_col: str, *order: str) -> DataFrame:
     """The second and later rows of one id get `_Chunk_nn` behind it."""
     n = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
-    return rows.withColumn("place", n).withColumn(id_col, F.when(F.col("place") > 1, F.concat(F.col(id_col), F.lit("_Chunk_"), F.lpad(F.col("place").cast("string"), 2, "0"))).otherwise(F.col(id_col))).drop("place")
+    return rows.withColumn("place", n).withColumn(id_col, F.when(F.col("place") > 1, F.concat(F.col(id_col), F.lit("_Chunk_"), F.format_string("%02d", "place"))).otherwise(F.col(id_col))).drop("place")
 
 
 def parents(chunks: DataFrame, key: str, level: str, order: str) -> DataFrame:

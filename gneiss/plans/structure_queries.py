@@ -150,10 +150,10 @@ def quote_support(spark: SparkSession, d: str) -> DataFrame:
     """Of each item's sentences, how many of 8 and more characters some document holds whole."""
     from ..operators.containment import contained
 
-    parts = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"(?<=[.])\s+")).alias("pos", "quote")).where("length(quote) >= 8").select((F.col("item_id") * 1000 + F.col("pos")).alias("quote_id"), "quote")
+    parts = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"(?<=[.])\s+")).alias("pos", "quote")).where("length(quote) >= 8").select((F.shiftleft(F.col("item_id").cast("long"), 32) + F.col("pos")).alias("quote_id"), "quote")
     found = contained(table(spark, d, "documents"), parts, "doc_id", "quote_id", passage="quote")
     held = found.groupBy("quote_id").agg(F.count("*").alias("n_docs"))
-    return parts.join(held, "quote_id", "left").groupBy(F.floor(F.col("quote_id") / 1000).alias("item_id")).agg(F.count("*").alias("n_quotes"), F.count("n_docs").alias("n_supported"))
+    return parts.join(held, "quote_id", "left").groupBy(F.shiftright("quote_id", 32).alias("item_id")).agg(F.count("*").alias("n_quotes"), F.count("n_docs").alias("n_supported"))
 
 
 QUERIES = {f.__name__: f for f in (section_forward_fill, article_spans, chunk_pack, chunk_ids_dedup, parent_assign, chunk_summary, taxonomy_labels, label_distribution, missing_lists, extract_refs, resolve_edges, edge_dedup, inverse_edges, unresolved_reasons, keyword_route, domain_guard, scope_guard, quality_checks, quote_support)}
@@ -170,9 +170,16 @@ _SIG = " + ".join(f"CASE WHEN contains(f, '{p}') THEN 1 ELSE 0 END" for p in SIG
 _REFS = r"""raw AS (SELECT page_id, unnest(p) AS target, unnest(range(len(p))) AS place FROM (SELECT page_id, regexp_extract_all(html, 'href=["'']([^"'']*)["'']', 1) AS p FROM pages)), known AS (SELECT url AS target, min(page_id) AS node FROM pages GROUP BY 1), refs AS (SELECT page_id, place, target, node IS NOT NULL AS resolved FROM raw LEFT JOIN known USING (target) WHERE node IS NULL OR node <> page_id)"""
 _TOK = "regexp_extract_all(" + _fold("text") + ", '[a-z0-9_.]+')"
 ORACLES = {
+    "chunk_pack": """WITH packed AS (SELECT doc_id, string_split(list_reduce(lines, lambda acc, x: acc || CASE WHEN length(list_last(string_split(acc, chr(1)))) + 1 + length(x) <= 1200 THEN chr(10) ELSE chr(1) END || x), chr(1)) AS chunks
+      FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM documents) WHERE len(lines) > 0)
+      SELECT doc_id, n, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM (SELECT doc_id, unnest(range(len(chunks))) AS n, unnest(chunks) AS chunk FROM packed)""",
+    "quote_support": r"""WITH q AS (SELECT item_id, pos, quote FROM (SELECT item_id, unnest(range(len(parts))) AS pos, unnest(parts) AS quote
+        FROM (SELECT item_id, string_split(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)) AS parts FROM benchmark)) WHERE length(quote) >= 8),
+      held AS (SELECT DISTINCT item_id, pos FROM q JOIN documents d ON contains(d.text, q.quote))
+      SELECT item_id, count(*) AS n_quotes, count(h.pos) AS n_supported FROM q LEFT JOIN held h USING (item_id, pos) GROUP BY item_id""",
     "section_forward_fill": f"WITH {_LINES} SELECT doc_id, section, count(*) AS n_lines, sum(length(line)) AS n_chars FROM (SELECT doc_id, line, coalesce(max(CASE WHEN length(line) < 30 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos), -1) AS section FROM lines) GROUP BY ALL",
     "article_spans": f"WITH {_LINES}, h AS (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM lines) SELECT doc_id, row_number() OVER w AS n, pos AS start, coalesce(lead(pos) OVER w, last + 1) AS \"end\" FROM h WHERE length(line) < 30 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
-    "chunk_ids_dedup": "SELECT doc_id, id || CASE WHEN n > 1 THEN '_Chunk_' || lpad(n::VARCHAR, 2, '0') ELSE '' END AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS n FROM (SELECT doc_id, lang || '_' || substring(md5(text), 1, 8) AS id FROM documents))",
+    "chunk_ids_dedup": "SELECT doc_id, id || CASE WHEN n > 1 THEN '_Chunk_' || printf('%02d', n) ELSE '' END AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS n FROM (SELECT doc_id, lang || '_' || substring(md5(text), 1, 8) AS id FROM documents))",
     "parent_assign": f"WITH {_LINES}, c AS (SELECT doc_id, pos, doc_id || '#' || pos AS chunk_id, CASE WHEN length(line) < 20 THEN 0 WHEN length(line) < 60 THEN 1 ELSE 2 END AS level FROM lines), p AS (SELECT *, max(CASE WHEN level = 0 THEN pos END) OVER w AS p0, max(CASE WHEN level = 1 THEN pos END) OVER w AS p1 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT chunk_id, level, CASE level WHEN 1 THEN doc_id || '#' || p0 WHEN 2 THEN doc_id || '#' || p1 END AS parent FROM p",
     "chunk_summary": f"WITH {_LINES} SELECT source, count(*) AS n, sum(CASE WHEN length(line) < 20 THEN 1 ELSE 0 END) AS short, sum(CASE WHEN length(line) > 3000 THEN 1 ELSE 0 END) AS long, max(length(line)) AS longest FROM lines GROUP BY 1",
     "taxonomy_labels": f"SELECT doc_id, array_to_string({_labels('f')}, ',') AS labels FROM (SELECT doc_id, {_fold('text')} AS f FROM documents)",
