@@ -10,10 +10,9 @@ bucket (band, word's place, word). P - d - 1 words of a class need no bucket: th
 Only buckets are made of whole sketches. Classes that meet others have a short sketch for each of their bands, with about three bits
 for each allowed difference, whose Hamming distance is a lower bound as well; a bucket's members are compared by those of its band.
 
-Buckets are not expanded into pairs. Hubs first: each bucket's smallest class, then its largest, then another one, is held
-against those of its members that are not yet known to be connected to it; groups of near copies are joined by that. A hub is
-then through with its bucket, and so is a bucket whose members are all connected. What remains is compared sketch by sketch in
-tiles of bounded size. Every pair that passes the sketches is verified on the whole sets. Members of a large bucket, and rows of a
+Buckets are not expanded into pairs. Three hubs of a bucket (its smallest class, its largest, and another one) are held against its
+members of a size that allows a link; groups of near copies are joined by that. A bucket of three, or one whose members are all
+connected, is then through. What remains is compared sketch by sketch in tiles of bounded size. Every pair that passes the sketches is verified on the whole sets. Members of a large bucket, and rows of a
 large class, are dealt into lots before they meet what is known of it.
 """
 
@@ -208,17 +207,18 @@ def bucket_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _bucket_rows(texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """bucket, cls of the classes' texts (cls, text)."""
+    """bucket, cls, n of the classes' texts (cls, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
         for b in batches:
-            keys = [bucket_keys(s, bands) for s in shingle_sets(b.column(1).to_pylist(), width)]
-            cls = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
-            whole = pa.table({"bucket": pa.array(np.concatenate(keys).astype(np.int64) if keys else [], pa.int64()), "cls": pa.array(cls, pa.int64())})
-            yield from whole.to_batches(max_chunksize=1 << 16)
+            sets = [(len(s), bucket_keys(s, bands)) for s in shingle_sets(b.column(1).to_pylist(), width)]
+            times = [len(k) for _, k in sets]
+            cls, n = np.repeat(b.column(0).to_numpy(), times), np.repeat(np.array([m for m, _ in sets], dtype=np.int64), times)
+            buckets = np.concatenate([k for _, k in sets]).astype(np.int64) if sets else np.zeros(0, dtype=np.int64)
+            yield from pa.table({"bucket": pa.array(buckets), "cls": pa.array(cls, pa.int64()), "n": pa.array(n)}).to_batches(max_chunksize=1 << 16)
 
-    return texts.select("cls", "text").mapInArrow(work, "bucket long, cls long")
+    return texts.select("cls", "text").mapInArrow(work, "bucket long, cls long, n long")
 
 
 #: The band of a bucket.
@@ -240,12 +240,6 @@ def _with_bucket(members: DataFrame, known: DataFrame) -> DataFrame:
     return members.withColumn("lot", F.pmod(F.xxhash64("cls"), lots).cast("int")).join(dealt, ["bucket", "lot"]).drop("lot")
 
 
-def _open(members: DataFrame, *more: Column) -> DataFrame:
-    """bucket, size, and more aggregates of the buckets whose members aren't all connected."""
-    each = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("size"), *more)
-    return each.where("least != most").drop("least", "most")
-
-
 def _print(*columns: str) -> list[Column]:
     """Aggregates that tell sets of classes apart: three sums of hashes."""
     return [F.sum(F.pmod(F.xxhash64("cls", F.lit(k)), F.lit(1 << 31))).alias(c) for k, c in enumerate(columns)]
@@ -257,9 +251,18 @@ def _one_of_equals(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("size", "p", "q", "r").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
 
 
-def _hub_pairs(members: DataFrame, hubs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: each bucket's hub with those of its members that lie in other components, if their sketches allow a link."""
-    pairs = _with_bucket(members, hubs).where("cls != hub and component != hub_component").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), F.expr(AT).alias("met")).distinct()
+def _hub_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """a, b: each member of a bucket with the bucket's three hubs, if their sizes and sketches allow a link.
+
+    A pair is looked at in the band of the larger set only, where every link has a bucket.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    bands = Bands(threshold)
+    lower = F.array(*[F.lit(bands.lower[k]) for k in range(bands.of(1 << 31) + 1)])
+    each = members.select("bucket", "cls", "n", F.explode(F.array_distinct(F.array("least", "most", "third"))).alias("hub")).where("cls != hub.cls")
+    low, high = F.least("n", "hub.n"), F.greatest("n", "hub.n")
+    each = each.where((q * low >= p * high) & (high >= F.get(lower, F.expr(AT))))
+    pairs = each.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"), F.expr(AT).alias("met")).distinct()
     one = pairs.join(sketches.alias("x"), (F.col("a") == F.col("x.cls")) & (F.col("met") == F.col("x.at")))
     return one.join(sketches.alias("y"), (F.col("b") == F.col("y.cls")) & (F.col("met") == F.col("y.at"))).where(_similar("x", "y", threshold)).select("a", "b").distinct()
 
@@ -367,35 +370,26 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: float = 0.
     classes = settle(numbered.select("set", "one", "copies", F.monotonically_increasing_id().alias("cls")), "classes")
     first = if_small(classes.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")))
     texts = hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text")
-    in_bucket = Window.partitionBy("bucket")
-    dealt = _bucket_rows(texts, width, share).select("bucket", "cls", F.count("*").over(in_bucket).alias("size"), F.min("cls").over(in_bucket).alias("least"), F.max("cls").over(in_bucket).alias("most"))
-    members = settle(dealt.where("least != most").select("bucket", "cls", "size"), "members")
-    kept = _one_of_equals(members.groupBy("bucket").agg(F.max("size").alias("size"), *_print("p", "q", "r")))
-    named = settle(_with_bucket(members, kept).withColumn("component", F.col("cls")), "open")
-    involved = named.select("cls").distinct().join(classes, "cls")
+    own, in_bucket = F.struct("cls", "n"), Window.partitionBy("bucket")
+    third = F.min(F.struct(F.xxhash64("cls", F.lit(7)).alias("at"), own.alias("own"))).over(in_bucket)["own"]
+    dealt = _bucket_rows(texts, width, share).select("bucket", "cls", "n", F.count("*").over(in_bucket).alias("size"), F.min(own).over(in_bucket).alias("least"), F.max(own).over(in_bucket).alias("most"), third.alias("third"))
+    members = settle(dealt.where("least.cls != most.cls"), "members")
+    involved = members.select("cls").distinct().join(classes, "cls")
     first = if_small(settle(involved.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")), "involved"))
     texts = settle(hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text"), "texts")
     sketches = settle(short_sketches(texts, width, share), "sketches")
-    forget(members)
-
-    links = joined = before = None
-    pick = F.struct(F.col("cls").alias("hub"), F.col("component").alias("hub_component"))
-    for hub in (F.min(pick), F.max(pick), F.min_by(pick, F.xxhash64("cls", F.lit(7))), None):
-        hubs = settle(_open(named, hub.alias("h")).select("bucket", "size", "h.*"), "hub") if hub is not None else None
-        pairs = settle(_hub_pairs(named, hubs, sketches, share) if hubs is not None else _tile_pairs(named, sketches, share), "pairs")
-        found = _verified(pairs, texts, width, share)
-        last, links = links, settle(found if links is None else found.union(links), "verified")
-        if hubs is not None:
-            named, before = named.join(hubs.select("bucket", F.col("hub").alias("cls")), ["bucket", "cls"], "left_anti"), named
-        last_joined, joined = joined, components(links)
-        named = named.drop("component").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("size")).where("least != most").select("bucket", "size")
-        named = settle(_with_bucket(named, open_), "open")  # the buckets whose members are not all connected yet
-        forget(*[x for x in (before, hubs, pairs, last, last_joined) if x is not None])
-        if hubs is None or named.isEmpty():
-            break
-        before = named
-    forget(named, texts, sketches, links)
+
+    pairs = settle(_hub_pairs(members, sketches, share), "pairs")
+    links = settle(_verified(pairs, texts, width, share), "verified")
+    joined = components(links)
+    # Up to three members are all held against each other by then.
+    more = members.where("size > 3").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
+    last = settle(_tile_pairs(more, sketches, share), "pairs")
+    forget(members, pairs)
+    every = settle(_verified(last, texts, width, share).union(links), "verified")
+    forget(last, links, joined, texts, sketches)
+    joined = components(every)
+    forget(every)
     of_set = classes.select("set", "cls", "one", "copies").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("set", "one", "copies", F.coalesce("component", "cls").alias("component"))
     head = of_set.groupBy("component").agg(F.min("one").alias("head"), F.min("one.id").alias("least"))
     of_set = settle(of_set.join(head, "component").select("set", "copies", "head", "least"), "sets")
