@@ -312,7 +312,7 @@ def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) ->
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    lots = max(1, dealt.count() // (64 * TILE))  # small buckets share a lot
+    lots = max(1, dealt.count() // (512 * TILE))  # small buckets share a lot
     lot = F.pmod(F.xxhash64("head", "i", "j"), F.lit(lots)).alias("lot")
     once = dealt.groupBy(lot, "cls", F.expr(AT).alias("at")).agg(F.first("component").alias("component"), F.collect_list(F.struct("bucket", "i", "j", "tile")).alias("tiles"))
     return once.join(sketches, ["cls", "at"]).groupBy("lot").applyInArrow(compare, "a long, b long").distinct()
