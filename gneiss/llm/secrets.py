@@ -18,37 +18,55 @@ from .common import settle, table
 
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ASSIGN_HINT = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: Shorter runs can be no match and hold none, so the least length is part of these two patterns.
+ACCESS = r"AKIA[A-Z0-9]{16,}+"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 HEX_HINT = r"[0-9a-f]{24}"
 CODED = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/_-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 P_BINS = 20
+#: Matches whose positions are added up in one list; a text's lists are put together afterwards.
+LIST = 128
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start,end,value>> of the leftmost non-overlapping matches; positions in characters, value: a group.
+def matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """array<struct<start,end,value>> of the leftmost non-overlapping matches; positions in characters, value: a group. Matches
+    whose value has fewer than `least` characters are dropped after matching.
 
-    A text is its gaps and matches in turn, so positions are sums of their lengths.
+    A text is its gaps and matches in turn, so positions are sums of their lengths. An array is copied whenever it grows, so they
+    are added up in short lists first, from each list's begin, and each list is then moved to its place.
     """
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), whole.alias("size"), value.alias("value"))
-    steps = F.filter(steps, lambda x: x["size"].isNotNull())
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(s["found"], F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value"))).alias("found")),
-    )
-    return folded["found"]
+    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length) if group else F.transform(value, F.length)
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("size"), value.alias("value")), lambda x: x["size"].isNotNull())
+
+    def in_list(steps: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            start, end = s["at"] + x["gap"], s["at"] + x["gap"] + x["size"]
+            found = F.array_append(s["found"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
+            return F.struct(end.alias("at"), (F.when(F.length(x["value"]) >= least, found).otherwise(s["found"]) if least else found).alias("found"))
+
+        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), add)
+
+    def place(lists: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            return F.struct((s["at"] + x["at"]).alias("at"), F.array_append(s["placed"], F.struct(s["at"].alias("by"), x["found"].alias("found"))).alias("placed"))
 
+        none = F.array().cast("array<struct<by:int,found:array<struct<start:int,end:int,value:string>>>>")
+        return F.aggregate(lists, F.struct(F.lit(0).alias("at"), none.alias("placed")), add)["placed"]
 
-def _rule(kind: str, text: Column, hint: Column, pattern: str, least: int, group: int = 0) -> Column:
-    """Spans of a rule; matches whose value has fewer than `least` characters are dropped after matching."""
+    # A one-element array binds what its lambda uses more than once.
+    cut = F.transform(F.array(steps), lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / LIST).cast("int")), lambda k: in_list(F.slice(all_, k * LIST + 1, LIST))))[0]
+    moved = F.transform(place(cut), lambda p: F.transform(p["found"], lambda m: F.struct((m["start"] + p["by"]).alias("start"), (m["end"] + p["by"]).alias("end"), m["value"].alias("value"))))
+    return F.flatten(moved)
+
+
+def _rule(kind: str, text: Column, hint: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
+    """Spans of a rule where the hint holds."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    long_enough = F.filter(matches(text, pattern, group), lambda m: F.length(m["value"]) >= least)
-    spans = F.transform(long_enough, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+    spans = F.transform(matches(text, pattern, group, least), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
     return F.when(hint, spans).otherwise(none)
 
 
@@ -82,7 +100,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     for label, fits, alphabet in reversed(encodings):
         name, letters = F.when(v.rlike(fits), label).otherwise(name), F.when(v.rlike(fits), alphabet).otherwise(letters)
     t = tokens.withColumns({"encoding": name, "letters": letters}).where("encoding is not null")
-    t = t.withColumn("x", F.expr("transform(sequence(1, length(value)), i -> cast(instr(letters, substr(value, i, 1)) - 1 as double))"))
+    t = t.withColumn("x", F.expr("transform(split(value, ''), c -> cast(instr(letters, c) - 1 as double))"))
     t = t.withColumns({
         "n": F.size("x").cast("double"),
         "k": F.when(F.col("encoding") == "base64", 64.0).otherwise(F.length("letters").cast("double")),
@@ -121,6 +139,17 @@ def accept_random(tested: DataFrame, max_false: float = 0.1) -> DataFrame:
     return tested.join(F.broadcast(least), "band").where("bin >= least").drop("band", "bin", "least")
 
 
+def _free_tokens(scanned: DataFrame) -> DataFrame:
+    """row, start, end, value of the coded tokens that overlap no base span of their row, in one pass along each text: a token
+    overlaps one if, of the spans that start before its end, one ends after its start."""
+    token = F.transform("coded", lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("last"), c.alias("c")))
+    no_token = F.lit(None).cast("struct<start:int,end:int,value:string>")
+    span = F.transform("base", lambda b: F.struct(b["start"].alias("at"), b["end"].alias("last"), no_token.alias("c")))
+    places = scanned.where(F.size("coded") > 0).select("row", F.inline(F.concat(token, span)))
+    before = Window.partitionBy("row").orderBy("at", F.col("c").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return places.withColumn("reach", F.max("last").over(before)).where("c is not null and reach <= c.start").select("row", "c.*")
+
+
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_false: float = 0.1) -> DataFrame:
     """One row for each document (repeated rows each have theirs): the id, base and spans, both array<struct<start, kind, end>>
     sorted by start and kind (numbers into KINDS). spans also has the tokens that the battery takes for random keys and that
@@ -129,14 +158,13 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = F.concat(
         _rule("assign", text, text.rlike(ASSIGN_HINT), ASSIGN, 6, 2),
-        _rule("access", text, text.contains("AKIA"), ACCESS, 20),
-        _rule("hex", text, text.rlike(HEX_HINT), HEX, 24),
+        _rule("access", text, text.contains("AKIA"), ACCESS),
+        _rule("hex", text, text.rlike(HEX_HINT), HEX),
     )
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     coded = F.when(text.rlike(CODED), matches(text, CODED)).otherwise(none)
     scanned = settle(own.select(F.monotonically_increasing_id().alias("row"), "id", F.array_sort(base).alias("base"), coded.alias("coded")), "secrets")
-    free = F.filter("coded", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    tokens = scanned.select("row", F.explode(free).alias("c")).select("row", "c.*")
+    tokens = _free_tokens(scanned)
     span = F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")
     more = accept_random(battery(tokens), max_false).groupBy("row").agg(F.collect_list(span).alias("more"))
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
