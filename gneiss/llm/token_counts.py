@@ -9,74 +9,107 @@ a file of any length meets in no one task.
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, encoder
-from .common import settle, table
+from .common import settle, shared_dir, table
 
 BLOCK_TOKENS = 1 << 18
 RUN = 256
 SEPARATOR = 50256
+WRITE_BYTES = 1 << 20
 
 
-def read_token_files(spark: SparkSession, path: str, *, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block, tokens of flat files of little-endian ids (each file at most 2 GB, Spark's limit for one value). A file's last block may be shorter; trailing bytes that are no whole id are left out."""
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; a path without a scheme, or with file:, is a folder's on all machines."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def blocks_of(files: DataFrame, *, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """file, block, tokens of flat files of little-endian ids, listed as (file, length in bytes). Only the list is shuffled: tasks
+    read the byte ranges that they are dealt. A file's last block may be shorter; a file of no bytes has no block; one whose length
+    is no multiple of an id's, or that ends before its listed length, fails."""
     size = block_tokens * token_bytes
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "content", "length")
-    at = files.select("file", "content", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
-    whole = F.least(F.lit(size), F.col("length") - F.col("block") * size)
-    whole = whole - whole % token_bytes
-    return at.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), whole.cast("int")).alias("tokens")).where(F.length("tokens") > 0)
+    odd = F.raise_error(F.concat(F.lit("not a whole number of ids: "), "file")).cast("long")
+    length = F.when(F.col("length") % token_bytes == 0, F.col("length")).otherwise(odd)
+    listed = files.select("file", length.alias("length")).where("length > 0")
+    at = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+    at = at.select("file", "block", F.least(F.lit(size), F.col("length") - F.col("block") * size).alias("n_bytes")).repartition("file", "block")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                where, path = _at(row["file"])
+                with where.open_input_file(path) as f:
+                    raw = f.read_at(row["n_bytes"], row["block"] * size)
+                if len(raw) != row["n_bytes"]:
+                    raise ValueError(f"{row['file']} ends before its listed length")
+                yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["block"]], pa.int64()), pa.array([raw], pa.binary())], names=["file", "block", "tokens"])
 
+    return at.mapInArrow(work, "file string, block long, tokens binary")
 
-def write_token_stream(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """Tokenises documents into one flat stream a task, each document followed by the separator, and cuts it into blocks.
 
-    Returns the blocks (file, block, tokens) and which document came in which place (file, ordinal, id). A null text is empty. The
-    separator's string in a text is ordinary text here, so that it ends no document.
+def read_token_files(spark: SparkSession, path: str, *, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """blocks_of the files that Spark finds at a path; they may have any length, and are only listed here."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    return blocks_of(files, token_bytes=token_bytes, block_tokens=block_tokens)
+
+
+def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, token_bytes: int = 2, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Tokenises documents into flat files of little-endian ids in a shared folder, each document followed by the separator.
+
+    Returns (file, length, ordinal, id): for each file one row with its length in bytes, and one row for each document with its
+    place in the file. A task writes one file, under a name of its own for each attempt, so that only files of attempts whose rows
+    were kept are listed. A null text is empty. The separator's string in a text is ordinary text here, so that it ends no
+    document. An id that does not fit token_bytes fails.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    dtype, size = f"<u{token_bytes}", block_tokens * token_bytes
-    arrow = pa.schema([("file", pa.string()), ("block", pa.int64()), ("tokens", pa.binary()), ("ordinal", pa.int64())])
+    dtype, most = f"<u{token_bytes}", 1 << (8 * token_bytes)
+    if separator >= most:
+        raise ValueError(f"separator {separator} does not fit {token_bytes} bytes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, file = encoder(vocabulary), f"task-{TaskContext.get().partitionId()}"
-        end = np.array([separator], dtype=dtype).tobytes()
-        held, block, ordinal = bytearray(), 0, 0
-        id_type = pa.int64()
-
-        def rows(ids: pa.Array, cut: list[bytes]) -> pa.RecordBatch:
-            nonlocal block
-            n, m = len(cut), len(ids)
-            columns = [
-                pa.array([file] * (n + m)), pa.array([*range(block, block + n), *[None] * m], pa.int64()), pa.array([*cut, *[None] * m], pa.binary()),
-                pa.array([*[None] * n, *range(ordinal, ordinal + m)], pa.int64()), pa.concat_arrays([pa.nulls(n, ids.type), ids]),
-            ]
-            block += n
-            return pa.RecordBatch.from_arrays(columns, names=[*arrow.names, "id"])
-
-        for batch in batches:
-            id_type = batch.column(0).type
-            for text in batch.column(1):
-                text = text.as_py()
-                held += (np.frombuffer(enc.ids(text), dtype="<u4").astype(dtype).tobytes() if text else b"") + end
-            whole = len(held) // size
-            cut = [bytes(held[k * size : (k + 1) * size]) for k in range(whole)]
-            del held[: whole * size]
-            yield rows(batch.column(0), cut)
-            ordinal += batch.num_rows
-        if held:
-            yield rows(pa.array([], id_type), [bytes(held)])
-
-    stream = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"file string, block long, tokens binary, ordinal long, id {kind}")
-    stream = settle(stream, "tokens")
-    return stream.where("block is not null").select("file", "block", "tokens"), stream.where("ordinal is not null").select("file", "ordinal", "id")
+        enc, end = encoder(vocabulary), np.array([separator], dtype=dtype).tobytes()
+        file = posixpath.join(folder, f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}.tokens")
+        where, path = _at(file)
+        where.create_dir(posixpath.dirname(path), recursive=True)
+        length, ordinal, id_type = 0, 0, None
+        with where.open_output_stream(path) as out:
+            for batch in batches:
+                held, id_type, n = bytearray(), batch.column(0).type, batch.num_rows
+                for text in batch.column(1):
+                    text = text.as_py()
+                    if text:
+                        ids = np.frombuffer(enc.ids(text), dtype="<u4")
+                        if len(ids) and ids.max() >= most:
+                            raise ValueError(f"id {ids.max()} does not fit {token_bytes} bytes")
+                        held += ids.astype(dtype).tobytes()
+                    held += end
+                    if len(held) >= WRITE_BYTES:
+                        out.write(bytes(held))
+                        length += len(held)
+                        held.clear()
+                out.write(bytes(held))
+                length += len(held)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.nulls(n, pa.int64()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0)], names=["file", "length", "ordinal", "id"])
+                ordinal += n
+        if ordinal:
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([length], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, id_type)], names=["file", "length", "ordinal", "id"])
+        else:
+            where.delete_file(path)
+
+    return settle(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"file string, length long, ordinal long, id {kind}"), "tokens")
 
 
 def scan_blocks(blocks: DataFrame, *, separator: int = SEPARATOR, token_bytes: int = 2) -> DataFrame:
@@ -125,7 +158,9 @@ def count_tokens(blocks: DataFrame, *, separator: int = SEPARATOR, token_bytes:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes documents as flat token streams, forgets where they end, and counts them by their separators."""
-    blocks, order = write_token_stream(table(spark, sf_dir, "documents"))
-    found = count_tokens(blocks)
-    return order.join(found, ["file", "ordinal"], "left").select(F.col("id").alias("doc_id"), F.coalesce("n_tokens", F.lit(-1)).cast("long").alias("n_tokens"))
+    """Writes documents as flat token files, forgets where they end, and counts them by their separators. A document that the
+    files don't have fails."""
+    written = write_token_files(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}")
+    found = count_tokens(blocks_of(written.where("ordinal is null")))
+    lost = F.raise_error(F.concat(F.lit("no document at "), "file", F.lit(" "), F.col("ordinal").cast("string"))).cast("long")
+    return written.where("ordinal is not null").join(found, ["file", "ordinal"], "left").select(F.col("id").alias("doc_id"), F.coalesce("n_tokens", lost).alias("n_tokens"))

@@ -416,10 +416,24 @@ def test_token_counts(spark, sf, odd, empty, tmp_path):
     enc = bpe.Encoder()
     got = {r["doc_id"]: r["n_tokens"] for r in queries.QUERIES["op8_token_counts"](spark, sf).collect()}
     assert got == {r["doc_id"]: len(enc.ids(r["text"])) // 4 for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    blocks, order = token_counts.write_token_stream(odd, block_tokens=100)
-    assert order.count() == 9 and token_counts.count_tokens(blocks).count() == 9
-    blocks, order = token_counts.write_token_stream(empty)
-    assert token_counts.count_tokens(blocks).count() == 0
+    written = token_counts.write_token_files(odd, str(tmp_path / "odd"))
+    assert written.where("ordinal is not null").count() == 9
+    assert token_counts.count_tokens(token_counts.read_token_files(spark, str(tmp_path / "odd"), block_tokens=100)).count() == 9
+    written = token_counts.write_token_files(empty, str(tmp_path / "none"))
+    assert token_counts.count_tokens(token_counts.blocks_of(written.where("ordinal is null"))).count() == 0
+
+
+def test_token_files_of_wrong_widths_fail(spark, odd, tmp_path):
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "f").write_bytes(b"\x01\x00\x02")
+    with pytest.raises(Exception, match="not a whole number of ids"):
+        token_counts.read_token_files(spark, str(tmp_path / "cut")).collect()
+    with pytest.raises(Exception, match="ends before its listed length"):
+        token_counts.blocks_of(spark.createDataFrame([(str(tmp_path / "cut" / "f"), 4)], "file string, length long")).collect()
+    with pytest.raises(ValueError, match="does not fit"):
+        token_counts.write_token_files(odd, str(tmp_path / "narrow"), token_bytes=1)
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts.write_token_files(odd, str(tmp_path / "narrow"), separator=0, token_bytes=1)
 
 
 def test_automaton():
