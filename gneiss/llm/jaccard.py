@@ -3,9 +3,10 @@
 A document's set is hashed; equal sets are one class, and classes are what is joined. In a class's sketch every shingle flips
 one bit, so the Hamming distance of two sketches never exceeds the size of the sets' symmetric difference. Classes are banded
 by size so that two similar ones lie in the same or in adjacent bands; a class of which a larger partner may lie in the next band
-is sketched for that band too. All sketches of a band have P words of 64 bits, a tenth more than the most differences d that a
+is sketched for that band too. All sketches of a band have P words of PART bits, a tenth more than the most differences d that a
 link there allows. A differing shingle touches one word, so two linked classes agree in at least P - d words: they meet in a
-bucket (band, word's place, word). P - d - 1 words of a class need no bucket: those without shingles, and as many at the end.
+bucket (band, word's place, hash of the word). P - d - 1 words of a class need no bucket: those without shingles, and as many at
+the end. Words are wide, and kept as the places of their set bits, so that different shingles seldom make the same word.
 
 Only buckets are made of whole sketches. Classes that meet others have a short sketch for each of their bands, with about three bits
 for each allowed difference, whose Hamming distance is a lower bound as well; a bucket's members are compared by those of its band.
@@ -22,6 +23,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,11 @@ from .components import components
 TILE = 256
 #: Rows of one bucket or class that meet what is known of it in one lot.
 LOT = 1024
-#: Size bands for each factor of 1 / threshold in size are 1 / SPAN.
-SPAN = 3
+#: A size band is at most this factor wide, or as wide as two linked sets may differ: narrow bands allow few differences, so words
+#: hold many shingles, and few texts that only share a passage have a word in common.
+WIDTH = 1.4
+#: Bits of a word of the sketches that make buckets.
+PART = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _RADIX = 0x9E3779B97F4A7C15 | 1
@@ -102,16 +107,19 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
 
 
 class Bands:
-    """Size bands for a threshold, each SPAN times as wide (in factors) as two similar sets may differ: they lie in the same or in
-    adjacent ones."""
+    """Size bands for a threshold, each a whole number of times as wide (in factors) as two similar sets may differ: they lie in
+    the same or in adjacent ones."""
 
     def __init__(self, threshold: Fraction):
+        if not 0 < threshold < 1:
+            raise ValueError("the threshold lies between 0 and 1")
         self.threshold = threshold
+        self.factor = threshold ** max(1, int(log(WIDTH) / -log(threshold)))
         self.lower = [1]
 
     def _grow(self, n: int) -> None:
         while self.lower[-1] <= n:
-            self.lower.append(-int(-self.lower[-1] / self.threshold**SPAN // 1))
+            self.lower.append(-int(-self.lower[-1] / self.factor // 1))
 
     def of(self, n: int) -> int:
         self._grow(n)
@@ -150,6 +158,16 @@ def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def part_hashes(shingles: np.ndarray, words: int) -> np.ndarray:
+    """A hash of each of the `words` words of PART bits of a parity sketch; 0 for those without a set bit."""
+    h = _mix(shingles + np.uint64(words))
+    bit, times = np.unique((h >> np.uint64(20)) % np.uint64(words) * np.uint64(PART) + (h & np.uint64(PART - 1)), return_counts=True)
+    bit = bit[times & 1 == 1]
+    out = np.zeros(words, dtype=np.uint64)
+    np.add.at(out, (bit // np.uint64(PART)).astype(np.int64), _mix(bit))
+    return out
+
+
 def hash_sets(docs: DataFrame, *, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (set size), cls (hash of the set, null for an empty one)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -193,7 +211,7 @@ def bucket_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     for band in bands.sides(len(shingles)) if len(shingles) else ():
         if not (words := bands.words(band)):
             continue
-        sketch = parity_sketch(shingles, words).view(np.uint64)
+        sketch = part_hashes(shingles, words)
         spare = words - bands.differences(band) - 1
         kept = np.arange(words)
         empty = int((sketch == 0).sum())
