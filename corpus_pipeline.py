@@ -46,11 +46,11 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     found = similar_components(docs, width=SHINGLE_WORDS, threshold=SIMILARITY)
-    at, own, hashed = (fresh(docs, c) for c in ("at", "own", "hashed"))
-    kept = found.where("representative").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
-    marked = docs.withColumn(at, F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(at) == F.col(hashed))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", at]).select(docs.columns)
+    at, ids, own, hashed = (fresh(docs, c) for c in ("at", "ids", "own", "hashed"))
+    kept = found.where("representative").select(F.col("text_hash").alias(hashed), F.xxhash64("doc_id").alias(own)).distinct()
+    # Hashes are never null, so that repeated rows go and the join is made in one exchange of the texts.
+    once = docs.withColumn(at, F.xxhash64("text")).withColumn(ids, F.xxhash64("doc_id")).dropDuplicates([at, ids])
+    return once.join(kept, (F.col(at) == F.col(hashed)) & (F.col(ids) == F.col(own)), "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
