@@ -194,3 +194,28 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     scan = contamination(table(spark, sf_dir, "benchmark"))
     found = table(spark, sf_dir, "documents").select("doc_id", scan("text").alias("found")).select("doc_id", "found.*")
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), items AS (
+  SELECT item_id, w, least(13, len(w)) AS size
+  FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS k FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM items)
+), places AS (
+  SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS k
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT size FROM items))
+), found AS (
+  SELECT doc_id, item_id, p, size FROM places JOIN windows USING (size, k)
+), hits AS (
+  SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS word FROM (SELECT DISTINCT doc_id, p, size FROM found)) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

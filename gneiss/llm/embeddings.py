@@ -170,3 +170,19 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, depth: int |
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), unit AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE len(e) = (SELECT mode(len(e)) FROM v)
+), links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM unit x JOIN unit y ON x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.9
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT m.vec_id, coalesce(n, 0) AS n_links, least AS component_id, m.vec_id = least AS kept
+FROM (SELECT a AS vec_id, min(b) AS least FROM reached GROUP BY a) m LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON m.vec_id = c.a
+"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontamination import op9_benchmark_decontamination
-from .embeddings import op10_embedding_near_dedup
-from .jaccard import op4_ngram_jaccard_join
+from .decontamination import OP9_SQL, op9_benchmark_decontamination
+from .embeddings import OP10_SQL, op10_embedding_near_dedup
+from .jaccard import OP4_SQL, op4_ngram_jaccard_join
 from .licenses import op5_license_scan
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op2_best_fit_packing
@@ -30,4 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+    "op4_ngram_jaccard_join": OP4_SQL,
+    "op9_benchmark_decontamination": OP9_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
+}

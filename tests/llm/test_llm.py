@@ -547,13 +547,17 @@ def test_pipeline_odd_rows(spark, sf, odd):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7] and ids.count(None) == 1
 
 
-def test_oracle_of_line_dedup(spark, sf):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
-    ours = sorted(tuple(map(str, r)) for r in queries.QUERIES["op3_line_dedup"](spark, sf).select("doc_id", "n_lines", "n_removed", "text_md5").collect())
-    assert ours == sorted(tuple(map(str, r)) for r in con.sql(f"select doc_id, n_lines, n_removed, text_md5 from ({queries.ORACLES['op3_line_dedup']})").fetchall())
+    for t in ("documents", "benchmark", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    theirs, df = con.sql(queries.ORACLES[name]), queries.QUERIES[name](spark, sf)
+    assert sorted(theirs.columns) == sorted(df.columns)
+    ours = sorted(tuple(map(str, r)) for r in df.select(theirs.columns).collect())
+    assert ours == sorted(tuple(map(str, r)) for r in theirs.fetchall())
 
 
 def test_digests(spark, sf):
