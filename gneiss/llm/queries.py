@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .codes import OP13_SQL, op13_vector_codes
 from .decontamination import OP9_SQL, op9_benchmark_decontamination
 from .embeddings import OP10_SQL, op10_embedding_near_dedup
 from .jaccard import OP4_SQL, op4_ngram_jaccard_join
@@ -14,7 +15,9 @@ from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op2_best_fit_packing
 from .ppm import op7_lm_scoring
 from .secrets import op6_secret_scan
+from .spelling import OP12_SQL, op12_spelling_variants
 from .token_counts import op8_token_counts
+from .topk import OP11_SQL, op11_exact_topk
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +41,7 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": OP4_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
+    "op11_exact_topk": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
