@@ -43,15 +43,17 @@ def article_spans(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans.select(key, "article", n.alias("occurrence"), F.col("pos").alias("start"), F.coalesce("next", F.col("last") + 1).alias("end"))
 
 
-def pack_units(units: Column, limit: int, joiner: str = "\n\n") -> Column:
+def pack_units(units: Column, limit: int | Column, joiner: str = "\n\n") -> Column:
     """Greedy packing of an array of texts, in order: a unit joins the last chunk if both fit into `limit` characters."""
-    def add(chunks: Column, unit: Column) -> Column:
-        last = F.try_element_at(chunks, F.lit(-1))
-        joined = F.concat(last, F.lit(joiner), unit)
+    def add(state: Column, unit: Column) -> Column:
+        # The chunk that is open stands apart, so what is done is copied once a chunk and not once a unit.
+        joined = F.concat(state["open"], F.lit(joiner), unit)
         fits = F.coalesce(F.length(joined) <= limit, F.lit(False))
-        return F.when(fits, F.array_append(F.slice(chunks, 1, F.greatest(F.size(chunks) - 1, F.lit(0))), joined)).otherwise(F.array_append(chunks, unit))
+        closed = F.when(fits | state["open"].isNull(), state["done"]).otherwise(F.array_append(state["done"], state["open"]))
+        return F.struct(closed.alias("done"), F.when(fits, joined).otherwise(unit).alias("open"))
 
-    return F.aggregate(units, F.array().cast("array<string>"), add)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    return F.aggregate(units, start, add, lambda state: F.when(state["open"].isNull(), state["done"]).otherwise(F.array_append(state["done"], state["open"])))
 
 
 def dedupe_ids(rows: DataFrame, id_col: str, *order: str) -> DataFrame:
