@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a Parquet table in the folder that driver and executors share (spark.checkpoint.dir; a temporary one in local mode, where
+    that is unset) and reads it again: plans that use it several times stay short, and lost executors cost nothing twice."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="gneiss-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """source_file, page_number, text: each whole file as one cleaned page."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), F.col("value").alias("text"))
