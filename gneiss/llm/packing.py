@@ -2,7 +2,7 @@
 
 The lengths' histogram (at most `capacity` rows, whatever the corpus) goes to the driver. There a configuration linear
 program over the lengths is solved by multiplicative weights, priced by a knapsack dynamic program, until its value is within
-`tolerance` of the bound that the prices prove. Whole configurations are taken from it, the program is solved again over what
+`tolerance` of the bound that the prices prove. Its amounts are rounded, the program is solved again over what
 rounding has left, and what is left in the end goes best-fit into the remaining gaps. The result is a plan of
 runs: "items r0..r1 of length n go to sequences s0.. at offset o". Spark ranks the pieces within their length by prefix sums
 over partitions and reads each place off the plan.
@@ -14,6 +14,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ from .bpe import VOCABULARY, encoder
 from .common import settle, table
 
 CAPACITY = 2048
+#: Fractions of a configuration from which it is rounded up, in the order in which they are tried.
+THRESHOLDS = (1.0, 0.9, 0.75, 0.6, 0.5)
+#: A share of the sequences that is not worth another threshold: below a thousand sequences none.
+CLOSE = 0.001
 Config = tuple[tuple[int, int], ...]
 
 
@@ -159,6 +164,7 @@ class _Plan:
 
     def fill(self, config: list[list[int]], n: int) -> None:
         """n new sequences; for each slot, its class's lengths, longest first, as long as there are any."""
+        n = min(n, max((sum(self.left[x] for x in lengths) for lengths in config), default=0))  # no sequence stays empty
         ranges = [(self.sequences, n, 0)]
         self.sequences += n
         for lengths in config:
@@ -199,34 +205,47 @@ class _Plan:
                             self.sequences += n
 
 
-def make_plan(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 1, rounds: int = 2) -> _Plan:
-    """A plan that places every item; by_program: how many of them stand in whole configurations.
+def _program(plan: _Plan, classes: dict[int, list[int]], room: int) -> tuple[dict[Config, float], np.ndarray, float]:
+    """The program's configurations for what the plan has left, the sizes that they are of, and the bound on its sequences."""
+    left = {s: n for s in sorted(classes) if (n := sum(plan.left[x] for x in classes[s]))}
+    sizes = np.array(list(left), dtype=np.int64)
+    if not len(sizes) or sizes[-1] > room:
+        return {}, sizes, 0.0
+    used, bound = solve_configurations(np.array(list(left.values()), dtype=float), sizes, room)
+    return used, sizes, bound
 
-    Lengths are classed by `grain` tokens, rounded up. The amounts of configurations are rounded down, and the program is solved again
-    for the items that this leaves, `rounds` times at most; then best fit places the rest. Where best fit alone needs fewer sequences
-    (it has been seen to on a few hundred items), its plan is taken.
+
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 1, rounds: int = 3) -> _Plan:
+    """A plan that places every item; by_program: how many of them stand in configurations of the program.
+
+    Lengths are classed by `grain` tokens, rounded up. The amounts of configurations are rounded: up where the fraction is at least a threshold
+    (a configuration that demand no longer fills keeps the gap), else down. The program is solved again for the items that this leaves,
+    `rounds` times at most; best fit places the last ones into the gaps of configurations and, where none is left, into new sequences.
+    Of several thresholds, the one that needs the fewest sequences is taken; a plan within CLOSE of the program's bound ends the search.
     """
-    plan = _Plan(counts, capacity)
     classes: dict[int, list[int]] = defaultdict(list)
     for length in sorted(counts, reverse=True):
         classes[-(-length // grain)].append(length)
     room = capacity // grain
-    for _ in range(rounds):
-        left = {s: n for s in sorted(classes) if (n := sum(plan.left[x] for x in classes[s]))}
-        sizes = np.array(list(left), dtype=np.int64)
-        if not len(sizes) or sizes[-1] > room:
-            break
-        used, _ = solve_configurations(np.array(list(left.values()), dtype=float), sizes, room)
-        whole = [(int(amount + 1e-9), config) for config, amount in used.items() if amount > 1 - 1e-9]
-        for n, config in sorted(whole, reverse=True):
-            plan.fill([classes[int(sizes[j])] for j, k in config for _ in range(k)], n)
-        if not whole:
+    first, sizes, bound = _program(_Plan(counts, capacity), classes, room)
+    best = None
+    for threshold in THRESHOLDS:
+        plan, used, of = _Plan(counts, capacity), first, sizes
+        for k in range(rounds):
+            if k:
+                used, of, _ = _program(plan, classes, room)
+            whole = [(n, config) for config, amount in used.items() if (n := int(amount + 1 - threshold + 1e-9))]
+            for n, config in sorted(whole, key=lambda x: (-x[0], x[1])):
+                plan.fill([classes[int(of[j])] for j, c in config for _ in range(c)], n)
+            if not whole:
+                break
+        plan.by_program = sum(counts.values()) - sum(plan.left.values())
+        plan.best_fit()
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= ceil(bound - 1e-6) * (1 + CLOSE):
             break
-    plan.by_program = sum(counts.values()) - sum(plan.left.values())
-    plan.best_fit()
-    plain = _Plan(counts, capacity)
-    plain.best_fit()
-    return plain if plain.sequences < plan.sequences else plan
+    return best
 
 
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 1) -> tuple[list[tuple[int, int, int, int, int]], int]:

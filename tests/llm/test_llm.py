@@ -127,6 +127,25 @@ def test_packing_program_on_texts(spark, sf):
     assert plan.by_program >= 0.9 * sum(counts.values()) and plan.sequences <= math.ceil(bound * 1.01)
 
 
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_packing_program_on_unscaled_texts(spark, name):
+    """The program's own plan, on the lengths as they are: no more sequences than best fit, most pieces in its configurations."""
+    docs = spark.read.parquet(f"/root/testdata/{name}/documents.parquet")
+    counts = {r["length"]: r["count"] for r in packing.pieces(docs).groupBy("length").count().collect()}
+    plan, plain = packing.make_plan(counts), packing._Plan(counts, packing.CAPACITY)
+    plain.best_fit()
+    assert plan.sequences <= plain.sequences and plan.by_program >= 0.75 * sum(counts.values())
+    placed, ends = collections.Counter(), collections.defaultdict(list)
+    for length, rank, n, first, offset in plan.runs:
+        placed[length] += n
+        for k in range(n):
+            ends[first + k].append((offset, offset + length))
+    assert placed == counts and sorted(ends) == list(range(plan.sequences))
+    for spans in ends.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] <= packing.CAPACITY
+
+
 def test_toxicity(spark, sf, odd, empty):
     rng = random.Random(1)
     words = ["stone", "river", "cloud", "house", "paper", "light"]
