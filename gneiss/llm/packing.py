@@ -228,6 +228,8 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int =
         classes[-(-length // grain)].append(length)
     room = capacity // grain
     first, sizes, bound = _program(_Plan(counts, capacity), classes, room)
+    if grain > 1:  # the program's bound is that of the classes, not of the lengths
+        bound = sum(length * n for length, n in counts.items()) / capacity
     best = None
     for threshold in THRESHOLDS:
         plan, used, of = _Plan(counts, capacity), first, sizes
