@@ -30,6 +30,8 @@ CAPACITY = 2048
 THRESHOLDS = (1.0, 0.9, 0.75, 0.6, 0.5)
 #: A share of the sequences that is not worth another threshold: below a thousand sequences none.
 CLOSE = 0.001
+#: A share of the sequences that classes of lengths may cost; above it the grain is halved.
+COARSE = 0.1
 Config = tuple[tuple[int, int], ...]
 
 
@@ -218,7 +220,7 @@ def _program(plan: _Plan, classes: dict[int, list[int]], room: int) -> tuple[dic
 def make_plan(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int = 1, rounds: int = 3) -> _Plan:
     """A plan that places every item; by_program: how many of them stand in configurations of the program.
 
-    Lengths are classed by `grain` tokens, rounded up. The amounts of configurations are rounded: up where the fraction is at least a threshold
+    Lengths are classed by `grain` tokens, rounded up, or by half of it if that costs too much. The amounts of configurations are rounded: up where the fraction is at least a threshold
     (a configuration that demand no longer fills keeps the gap), else down. The program is solved again for the items that this leaves,
     `rounds` times at most; best fit places the last ones into the gaps of configurations and, where none is left, into new sequences.
     Of several thresholds, the one that needs the fewest sequences is taken; a plan within CLOSE of the program's bound ends the search.
@@ -247,6 +249,8 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY, *, grain: int =
             best = plan
         if best.sequences <= ceil(bound - 1e-6) * (1 + CLOSE):
             break
+    if grain > 1 and best.sequences > (1 + COARSE) * bound:
+        return min(best, make_plan(counts, capacity, grain=grain // 2, rounds=rounds), key=lambda plan: plan.sequences)
     return best
 
 
