@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, unaccent
 
 #: Patterns over normal forms, separators of lists, and the order of points' letters.
 ARTICLE = r"\bdieu\s+(\d+[a-z]?)\b"
@@ -120,8 +120,6 @@ def families(c: Column, signatures: list[tuple[str, list[str]]]) -> Column:
 
 def id_token(c: Column) -> Column:
     """Letters (case kept, no accents) and digits, all else as single underscores."""
-    from ..functions.text import unaccent
-
     return F.regexp_replace(F.regexp_replace(unaccent(F.trim(c)), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
 
 
@@ -146,7 +144,7 @@ def point_key(c: Column) -> Column:
     parts = F.split(F.lower(F.trim(c)), r"\.")
     place = F.array_position(F.array(*map(F.lit, LETTERS)), parts[0])
     known = F.when(place > 0, place - 1).otherwise(1000 + F.ascii(parts[0]))
-    suffix = F.transform(F.slice(parts, 2, 100), lambda x: F.struct(F.when(x.rlike(r"^\d+$"), 0).otherwise(1).alias("kind"), F.coalesce(x.try_cast("int"), F.lit(0)).alias("number"), x.alias("text")))
+    suffix = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.struct(F.when(x.rlike(r"^\d+$"), 0).otherwise(1).alias("kind"), F.coalesce(x.try_cast("int"), F.lit(0)).alias("number"), x.alias("text")))
     return F.struct(F.when(F.coalesce(c, F.lit("")) == "", 10_000).otherwise(known).cast("int").alias("letter"), suffix.alias("suffix"), F.lower(F.trim(c)).alias("point"))
 
 
