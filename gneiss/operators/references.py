@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
 from .citations import node_id
 from .spans import Pattern, drop_hidden, find_spans
 
@@ -132,6 +133,28 @@ def parse_references(chunks: DataFrame, parts: list[tuple[str, str | None]], pat
     return out.withColumn("target_id", target).withColumn("level", level).withColumn("confidence", confidence).drop("is_document")
 
 
+def cross_references(chunks: DataFrame, text: str, patterns: list[Pattern], form: str, *, main: tuple[str, str], prefix: str) -> DataFrame:
+    """chunk_id, target_id, edge_type, level, matched, raw: references by one rule for the whole text, each with the raw text behind it.
+
+    Articles are those of main (name, document) if the text names it or its own document's id starts with prefix, else of its own document.
+    A pattern with a number and a year names another document, whose id has the given form: it is guided by that one. References to the chunk's own node or document
+    are none.
+    """
+    named = F.contains(fold(F.col(text)), F.lit(main[0])) | F.coalesce(F.col("document_id").startswith(prefix), F.lit(False))
+    source = source_node(*(F.col(c) for c in ("document_id", "article_number", "clause_ref", "point_ref", "chunk_id")))
+    rows = chunks.where(F.col("chunk_id").isNotNull()).select("chunk_id", "document_id", source.alias("source_id"), named.alias("named"), text)
+    group = lambda name: F.try_element_at("groups", F.lit(name))
+    spans = find_spans(rows, ["chunk_id", "document_id", "source_id", "named"], text, patterns)
+    other = F.format_string(form, group("number"), group("year"))
+    document = F.when(group("number").isNotNull(), other).when(F.col("named"), main[1]).otherwise(F.col("document_id"))
+    level = F.when(group("number").isNotNull(), "document").when(group("clause").isNull(), "article").when(group("point").isNull(), "clause").otherwise("point")
+    out = spans.select(
+        "chunk_id", "document_id", "source_id", document.alias("target"), node_id(document, group("article"), group("clause"), group("point")).alias("target_id"), F.when(level == "document", "GUIDED_BY").otherwise("REFERENCES").alias("edge_type"),
+        level.alias("level"), F.trim("matched").alias("matched"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw"),
+    )
+    return out.where((F.col("target_id") != F.col("source_id")) & ~((F.col("level") == "document") & F.col("document_id").eqNullSafe(F.col("target")))).drop("document_id", "source_id", "target")
+
+
 def source_node(document: Column, article: Column, clause: Column, point: Column, chunk: Column) -> Column:
     """The node of the smallest part a chunk is about, or of the chunk where it has no article."""
     named = (F.coalesce(document, F.lit("")) != "") & (F.coalesce(article, F.lit("")) != "")

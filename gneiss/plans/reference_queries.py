@@ -25,6 +25,11 @@ PATTERNS = [
     Pattern("article_reference", LEAD + r"(?:diem\s+(?P<point>[a-z](?:\.\d+)?)\s+)?(?:khoan\s+(?P<clause>\d+)\s+)?dieu\s+(?P<article>\d+[a-z]?)" + OF),
     Pattern("document_reference", r"(?P<kind>nghi dinh|thong tu)\s+(?P<number>0?\d{1,3})\s*/\s*(?P<year>\d{4})(?:\s*/\s*(?P<suffix>nd\s*-?\s*cp|tt\s*-\s*bldtbxh))?"),
 ]
+#: The patterns of the rule for whole texts.
+CROSS = [
+    Pattern("article", r"(?P<prefix>theo quy dinh tai|tru truong hop quy dinh tai|quy dinh tai)?\s*(?:(?:diem)\s+(?P<point>[a-z](?:\.\d+)?)\s+)?(?:(?:khoan)\s+(?P<clause>\d+)\s+)?(?:dieu)\s+(?P<article>\d+[a-z]?)"),
+    Pattern("decree", r"nghi dinh\s+(?P<number>\d+)\s*/\s*(?P<year>\d{4})\s*/\s*nd\s*-?\s*cp"),
+]
 DOCUMENTS = {"nghi dinh": "nghi-dinh-%d-%s-nd-cp", "thong tu": "thong-tu-%02d-%s-tt-bldtbxh"}
 NAMES = X.Names(
     aliases=(
@@ -113,6 +118,11 @@ def reference_targets(spark: SparkSession, d: str) -> DataFrame:
     return _references(spark, d)[1].select("chunk_id", "part", "pattern", "item", "raw_start", "normalized", "target_document", "target_id", "level", "confidence")
 
 
+def cross_references(spark: SparkSession, d: str) -> DataFrame:
+    """References by one rule for the whole text, with the raw text behind each."""
+    return X.cross_references(_chunks(spark, d), "text", CROSS, "nghi-dinh-%s-%s-nd-cp", main=("bo luat lao dong", CODES[0]), prefix="nghi-dinh")
+
+
 def reference_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)[1].select("edge_id", "source_id", "target_id", "edge_type", "chunk_id", "source_document", "target_document", "normalized", "method", "confidence", "level", "target_article", "target_clause", "target_point", "resolved", "duplicates")
 
@@ -134,7 +144,7 @@ def reference_double_targets(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("n_targets > 1")
 
 
-QUERIES = {f.__name__: f for f in (reference_spans, reference_numbers, reference_targets, reference_edges, reference_summary, reference_gaps, reference_double_targets)}
+QUERIES = {f.__name__: f for f in (reference_spans, reference_numbers, reference_targets, cross_references, reference_edges, reference_summary, reference_gaps, reference_double_targets)}
 
 
 def _fold(x: str) -> str:
@@ -164,6 +174,19 @@ def _said() -> str:
     )
 
 
+def _crossed() -> str:
+    """A row for each reference by the rule for whole texts: kind, what is met, its level and parts."""
+    a, c, s = "CAST(a AS VARCHAR)", "CAST(c AS VARCHAR)", SENTENCES
+    rows = [
+        (1, s[1][1], "article", "NULL", a, "NULL", "NULL"), (2, s[2][1].removesuffix(" của Bộ luật Lao động"), "clause", "NULL", a, c, "NULL"), (3, s[3][1].removesuffix(" Nghị định này"), "point", "NULL", a, c, "p"), (4, "Điều {a}", "article", "NULL", a, "NULL", "NULL"),
+        (5, s[5][1], "document", "'nghi-dinh-' || a || '-' || y || '-nd-cp'", "NULL", "NULL", "NULL"), (6, "Điều {a}", "article", "NULL", a, "NULL", "NULL"), *[(7, "Điều {a}", "article", "NULL", a, "NULL", "NULL")] * 2,
+        (8, s[8][1].removesuffix(unicodedata.normalize("NFD", " luật này")), "clause", "NULL", a, c, "NULL"), (9, "Điều {a}a", "article", "NULL", f"{a} || 'a'", "NULL", "NULL"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT *, {_filled(it, 'VARCHAR')} AS raw, {_filled(_fold(it), 'VARCHAR')} AS matched, '{level}' AS level, {document} AS document, {x} AS article, {y} AS clause, {z} AS point FROM texts WHERE k = {k}" for k, it, level, document, x, y, z in rows
+    )
+
+
 def _node(document: str, article: str, clause: str, point: str) -> str:
     return f"""CASE WHEN {article} IS NULL THEN 'document:' || {document} WHEN {clause} IS NULL THEN 'article:' || {document} || ':dieu-' || {article} WHEN {point} IS NULL THEN 'clause:' || {document} || ':dieu-' || {article} || ':khoan-' || {clause}
       ELSE 'point:' || {document} || ':dieu-' || {article} || ':khoan-' || {clause} || ':diem-' || {point} END"""
@@ -193,6 +216,10 @@ ORACLES = {
     "reference_spans": f"{_SAID} SELECT chunk_id, pattern, raw_start, raw_start + length(raw) AS raw_end, raw, matched FROM said WHERE item = 0",
     "reference_numbers": f"""{_SAID} SELECT chunk_id, CASE WHEN k IN (0, 5) THEN '' ELSE a || CASE WHEN k = 9 THEN 'a' ELSE '' END END AS articles, CASE WHEN k IN (2, 3, 4, 8) THEN CAST(c AS VARCHAR) ELSE '' END AS clauses, CASE WHEN k = 3 THEN p ELSE '' END AS points FROM texts""",
     "reference_targets": f"{_REFS} SELECT chunk_id, part, pattern, item, raw_start, normalized, target_document, target_id, level, confidence FROM targets",
+    "cross_references": f"""{_SAID}, crossed AS ({_crossed()}),
+      aimed AS (SELECT *, CASE WHEN level = 'document' THEN document WHEN k = 2 OR own LIKE 'nghi-dinh%' THEN '45-2019-qh14' ELSE own END AS target FROM crossed),
+      ends AS (SELECT *, {_node('target', 'article', 'clause', 'point')} AS target_id, {_node('own', 'article_number', 'clause_ref', 'point_ref')} AS source_id FROM aimed)
+      SELECT chunk_id, target_id, CASE level WHEN 'document' THEN 'GUIDED_BY' ELSE 'REFERENCES' END AS edge_type, level, matched, raw FROM ends WHERE target_id <> source_id AND NOT (level = 'document' AND target = own)""",
     "reference_edges": f"{_EDGES} SELECT edge_id, source_id, target_id, edge_type, chunk_id, source_document, target_document, normalized, method, confidence, level, target_article, target_clause, target_point, resolved, duplicates FROM edges",
     "reference_summary": f"""{_EDGES} SELECT what, value, count(*) AS n FROM (SELECT unnest(['type', 'level', 'source_document', 'target_document', 'resolved', 'article']) AS what,
       unnest([edge_type, level, source_document, target_document, CAST(resolved AS VARCHAR), CASE WHEN target_id NOT LIKE 'document:%' THEN split_part(target_id, ':', 2) || ':' || split_part(target_id, ':', 3) END]) AS value FROM edges) WHERE value IS NOT NULL GROUP BY ALL""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.alignment import fold_with_offsets, raw_span
 from gneiss.operators import references as X
 from gneiss.operators.spans import Pattern, drop_hidden, find_spans
-from gneiss.plans.reference_queries import DOCUMENTS, MARK, NAMES, PATTERNS, rank
+from gneiss.plans.reference_queries import CROSS, DOCUMENTS, MARK, NAMES, PATTERNS, rank
 
 
 def loop_fold(text):
@@ -118,3 +118,16 @@ def test_edges(spark):
 
 def test_patterns_are_over_folded_text():
     assert all(unicodedata.normalize("NFKD", p.regex).isascii() and re.compile(p.regex) for p in PATTERNS)
+
+
+def test_cross_references(spark):
+    rows = [
+        ("a", "nghi-dinh-1-2020-nd-cp", "4", None, None, None, "Theo quy định tại  Điểm a khoản 2 Điều 5; Nghị định 2/2021/NĐ-CP, Nghị định 1/2020/NĐ-CP", None),
+        ("b", "doc", "5", None, None, None, "Điều 5, điều 6", None), ("c", "doc", None, None, None, None, "Bộ luật Lao động, Điều 7", None), ("d", None, None, None, None, None, None, None), ("e", None, None, None, None, None, "không", None),
+    ]
+    df = spark.createDataFrame(rows, CHUNKS)
+    got = X.cross_references(df, "text", CROSS, "nghi-dinh-%s-%s-nd-cp", main=("bo luat lao dong", "code"), prefix="nghi-dinh").collect()
+    assert sorted((r["chunk_id"], r["target_id"], r["edge_type"], r["raw"]) for r in got) == [
+        ("a", "document:nghi-dinh-2-2021-nd-cp", "GUIDED_BY", "Nghị định 2/2021/NĐ-CP"), ("a", "point:code:dieu-5:khoan-2:diem-a", "REFERENCES", "Theo quy định tại  Điểm a khoản 2 Điều 5"),
+        ("b", "article:doc:dieu-6", "REFERENCES", "điều 6"), ("c", "article:code:dieu-7", "REFERENCES", "Điều 7"),
+    ]
