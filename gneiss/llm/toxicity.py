@@ -2,8 +2,9 @@
 
 Every text is lower-cased, put between spaces, and turned into the set of its hashed character n-grams. How many toxic and
 clean training documents have each n-gram is counted over all training rows, in Spark; the log ratio of the smoothed shares
-is the feature's value, and n-grams whose ratio is no further from zero than chance, or than `min_ratio`, are dropped. A logistic regression over
-those values is fitted on the driver on a bounded sample of the training rows (`max_fit_rows`, chosen by hash of the id).
+is the feature's value, and n-grams whose ratio is no further from zero than chance (`min_z`) are dropped. A logistic regression over
+those values is fitted on the driver on a bounded sample of the training rows, chosen by hash of the id: about `max_fit_rows` of them,
+or fewer, so that they have about `max_fit_entries` n-grams in all, a number that the counts give beforehand.
 Scoring is one pass over the documents: the weights are one array of fixed size.
 """
 
@@ -93,8 +94,8 @@ def _regression(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label:
     return w, bias
 
 
-def fit(labelled: DataFrame, *, max_fit_rows: int = 20_000, min_docs: int = 5, min_z: float = 4.0, min_ratio: float = 1.0, smooth: float = 1.0) -> Model:
-    """labelled: id, text, label (0 or 1). Without rows of both labels the model gives every text the share of label 1 (at most 0.49 if there is none)."""
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """bucket, clean, toxic: how many texts of each label have each hashed n-gram. labelled: text, label (0 or 1)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), dtype=np.int64)
@@ -106,15 +107,23 @@ def fit(labelled: DataFrame, *, max_fit_rows: int = 20_000, min_docs: int = 5, m
         i = np.flatnonzero(seen.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(seen[0][i]), pa.array(seen[1][i])], names=["bucket", "clean", "toxic"])
 
+    each = labelled.select("text", "label").mapInArrow(count, "bucket int, clean long, toxic long")
+    return each.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def fit(labelled: DataFrame, *, max_fit_rows: int = 20_000, max_fit_entries: int = 4_000_000, min_docs: int = 5, min_z: float = 4.0, smooth: float = 1.0) -> Model:
+    """labelled: id, text, label (0 or 1); max_fit_rows and max_fit_entries bound the sample of the regression. Without rows of both labels the model gives every text the share of label 1 (at most 0.49 if there is none)."""
+
     n = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
         share = min(max(toxic / max(clean + toxic, 1), 0.01), 0.49 if not toxic else 0.99)
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
-    counted = labelled.select("text", "label").mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = gram_counts(labelled)
     ratio = F.log((F.col("toxic") + smooth) / (toxic + 2 * smooth)) - F.log((F.col("clean") + smooth) / (clean + 2 * smooth))
     spread = F.sqrt(1 / (F.col("toxic") + smooth) + 1 / (F.col("clean") + smooth))
-    rows = counted.where(F.col("toxic") + F.col("clean") >= min_docs).select("bucket", ratio.alias("r"), spread.alias("s")).where(F.abs("r") >= F.greatest(min_z * F.col("s"), F.lit(min_ratio))).select("bucket", "r").toArrow()  # at most 2 ** BITS rows
+    seen = F.col("toxic") + F.col("clean")
+    rows = counted.where(seen >= min_docs).select("bucket", seen.alias("n"), ratio.alias("r"), spread.alias("s")).where(F.abs("r") >= min_z * F.col("s")).select("bucket", "n", "r").toArrow()  # at most 2 ** BITS rows
     ratios = np.zeros(1 << BITS)
     ratios[rows.column("bucket").to_numpy()] = rows.column("r").to_numpy()
     keep = ratios != 0
@@ -126,12 +135,15 @@ def fit(labelled: DataFrame, *, max_fit_rows: int = 20_000, min_docs: int = 5, m
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([lists, b.column(1)], names=["buckets", "label"])
 
-    part = min(1.0, max_fit_rows / (clean + toxic))
+    entries = int(rows.column("n").to_numpy().sum())  # of all training rows
+    part = min(1.0, max_fit_rows / (clean + toxic), max_fit_entries / max(entries, 1))
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("text", "label").mapInArrow(chosen, "buckets array<int>, label int").toArrow()
     label = sample.column("label").to_numpy().astype(float)
     lists = sample.column("buckets").combine_chunks()
     doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    used, feature = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    bucket = lists.flatten().to_numpy()
+    used = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS))
+    feature = np.searchsorted(used, bucket)
     w, bias = _regression(doc, feature, ratios[used], label)
     weights = np.zeros(1 << BITS)
     weights[used] = w * ratios[used]

@@ -146,6 +146,34 @@ def test_packing_program_on_unscaled_texts(spark, name):
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] <= packing.CAPACITY
 
 
+def test_toxicity_counts_equal_a_loop(spark, sf):
+    """Documents of each label that have each hashed n-gram, by whole numbers of Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    rows = [(r["text"], r["doc_id"] % 2) for r in docs] + [("", 0), (None, 1), ("ab", 1), ("a" * 50, 0)]
+    want: dict[int, list[int]] = {}
+    for text, label in rows:
+        full, own = f" {(text or '').lower()} ", set()
+        for n in toxicity.SIZES:
+            for at in range(len(full) - n + 1):
+                h, weight = 0, 1
+                for c in full[at : at + n]:
+                    weight = weight * 0x01000193 & 0xFFFFFFFF
+                    h = (h * 0x85EBCA6B + ord(c) * (weight | 1)) & 0xFFFFFFFF
+                own.add(((h ^ h >> 15) * 0x9E3779B1 + n * 0x3C6EF372 & 0xFFFFFFFF) >> 32 - toxicity.BITS)
+        for b in own:
+            want.setdefault(b, [0, 0])[label] += 1
+    got = toxicity.gram_counts(spark.createDataFrame(rows, "text string, label int")).collect()
+    assert {r["bucket"]: [r["clean"], r["toxic"]] for r in got} == want
+
+
+def test_toxicity_fit_bounds(spark):
+    """Few rows and few entries to fit on still give a model; both bounds only thin the sample."""
+    rows = [(i, "vile rotten words here" if i % 2 else "kind and gentle words here", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    for bound in ({}, {"max_fit_rows": 100}, {"max_fit_entries": 1_500}):
+        assert list(toxicity.fit(df, **bound).scores(["vile rotten", "kind and gentle"]).round()) == [1, 0]
+
+
 def test_toxicity(spark, sf, odd, empty):
     rng = random.Random(1)
     words = ["stone", "river", "cloud", "house", "paper", "light"]
