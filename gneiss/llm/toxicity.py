@@ -49,7 +49,7 @@ def grams(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.n
         chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         doc = np.repeat(np.arange(len(group), dtype=np.int64), [len(x) for x in group])
         mixed = np.zeros(len(chars), dtype=np.uint32)
-        weight = 1
+        weight, own = 1, []
         for n in range(1, max(SIZES) + 1):
             weight = weight * 0x01000193 & 0xFFFFFFFF
             m = len(chars) - n + 1
@@ -62,11 +62,25 @@ def grams(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.n
                 if keep is not None:
                     whole &= keep[bucket]
                 i = np.flatnonzero(whole)
-                found.append(np.unique((np.array(at, dtype=np.int64)[doc[i]] << BITS) | bucket[i]))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+                own.append((np.array(at, dtype=np.int64)[doc[i]] << BITS) | bucket[i])
+        if own:
+            found.append(np.unique(np.concatenate(own)))
+    pairs = found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of about CHUNK characters of whole texts, so that the n-grams of a few texts are held at a time."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "") + 2
+        if size >= CHUNK:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 class Model:
     """weights: a value for each bucket, 0 for most; a text's score is the logistic of their sum and the bias."""
 
@@ -74,8 +88,11 @@ class Model:
         self.weights, self.bias, self.keep = weights, bias, weights != 0
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        doc, bucket = grams(texts, self.keep)
-        return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(doc, self.weights[bucket], len(texts)), -500, 500)))
+        total = np.full(len(texts), self.bias)
+        for a, b in _parts(texts):
+            doc, bucket = grams(texts[a:b], self.keep)
+            total[a:b] += np.bincount(doc, self.weights[bucket], b - a)
+        return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
 def _regression(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, *, ridge: float = 0.02, rounds: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
@@ -100,10 +117,12 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), dtype=np.int64)
         for b in batches:
-            doc, bucket = grams(b.column(0).to_pylist())
-            label = b.column(1).to_numpy(zero_copy_only=False)[doc]
-            for k in (0, 1):
-                seen[k] += np.bincount(bucket[label == k], minlength=1 << BITS)
+            texts, labels = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            for first, end in _parts(texts):
+                doc, bucket = grams(texts[first:end])
+                label = labels[first:end][doc]
+                for k in (0, 1):
+                    seen[k] += np.bincount(bucket[label == k], minlength=1 << BITS)
         i = np.flatnonzero(seen.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(seen[0][i]), pa.array(seen[1][i])], names=["bucket", "clean", "toxic"])
 
@@ -130,10 +149,12 @@ def fit(labelled: DataFrame, *, max_fit_rows: int = 20_000, max_fit_entries: int
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, bucket = grams(b.column(0).to_pylist(), keep)
-            cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([lists, b.column(1)], names=["buckets", "label"])
+            texts = b.column(0).to_pylist()
+            for first, end in _parts(texts):
+                doc, bucket = grams(texts[first:end], keep)
+                cuts = np.searchsorted(doc, np.arange(end - first + 1))
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([lists, b.column(1).slice(first, end - first)], names=["buckets", "label"])
 
     entries = int(rows.column("n").to_numpy().sum())  # of all training rows
     part = min(1.0, max_fit_rows / (clean + toxic), max_fit_entries / max(entries, 1))
