@@ -42,6 +42,12 @@ def _segments(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
         yield group, at
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting in place: several times as fast as hashing where most values differ."""
+    values.sort()
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def grams(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(place of the text, bucket) of each distinct n-gram of each text; only buckets marked in `keep`, if given."""
     found = []
@@ -64,8 +70,8 @@ def grams(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.n
                 i = np.flatnonzero(whole)
                 own.append((np.array(at, dtype=np.int64)[doc[i]] << BITS) | bucket[i])
         if own:
-            found.append(np.unique(np.concatenate(own)))
-    pairs = found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+            found.append(_distinct(np.concatenate(own)))
+    pairs = found[0] if len(found) == 1 else _distinct(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
