@@ -80,7 +80,7 @@ _ATOMS = f"""WITH f AS (SELECT *, CASE WHEN min(own) OVER w = max(own) OVER w TH
 def _scored(scoped: bool, broad: bool) -> str:
     inside = f"(family IS NULL OR family IN ('{SCOPE[0]}'))" if scoped else "true"
     clause, point = ("(e.y IS NULL OR o.y IS NULL OR e.y = o.y)", "true") if broad else ("(e.y IS NULL OR coalesce(e.y = o.y, false))", "e.z IS NULL")
-    met = f"((e.family IS NULL OR o.family IS NULL OR e.family = o.family) AND NOT (e.other AND e.family IS NULL) AND (e.x IS NULL OR e.x = o.x) AND {clause} AND {point})"
+    met = f"(o.rank IS NOT NULL AND (e.family IS NULL OR o.family IS NULL OR e.family = o.family) AND NOT (e.other AND e.family IS NULL) AND (e.x IS NULL OR e.x = o.x) AND {clause} AND {point})"
     none = "na" if scoped else "no"
 
     def verdict(n: str, met: str, none: str) -> str:
