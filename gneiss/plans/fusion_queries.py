@@ -45,7 +45,7 @@ def routed_questions(spark: SparkSession, d: str) -> DataFrame:
 def retrieved(spark: SparkSession, d: str) -> DataFrame:
     """From question to hits: rules, both variants' search, articles asked for, expansion, one list with provenance, boosts and coverage."""
     hits = X.retrieve(**_inputs(spark, d), k=K, prefetch=PREFETCH, graph_limit=GRAPH, graph_weight=WEIGHT, max_seeds=SEEDS, confidence=LEAST, depth=2, article_boost=BOOST)
-    return hits.select("query", "rank", "chunk", F.round("score", 5).alias("score"), "source", F.round("vector_score", 5).alias("vector_score"), F.round("graph_score", 5).alias("graph_score"), *[F.array_join(c, ">").alias(c) for c in X.ARRAYS], "article", "promoted")
+    return hits.select("query", "rank", "chunk", "score", "source", "vector_score", "graph_score", *[F.array_join(c, ">").alias(c) for c in X.ARRAYS], "article", "promoted")
 
 
 QUERIES = {f.__name__: f for f in (routed_questions, retrieved)}
@@ -90,10 +90,10 @@ def _after(plan: str, old: str, new: str) -> str:
     return f"""{new}_first AS (SELECT h.query, h.chunk, r.place, r.lift FROM {old} h JOIN required r USING (document, article) JOIN routed o ON o.query = h.query AND o.kind = 'plan' AND o.value = r.plan WHERE r.plan = '{plan}' QUALIFY row_number() OVER (PARTITION BY h.query, r.place ORDER BY h.rank) = 1),
   {new}_kept AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place) - 1 AS k FROM {new}_first QUALIFY count(*) OVER (PARTITION BY query) >= 2),
   {new} AS MATERIALIZED (SELECT h.query, h.chunk, h.source, h.vector_score, h.graph_score, h.seeds, h.nodes, h.kinds, h.document, h.article, CASE WHEN f.k IS NULL THEN h.promoted ELSE '{plan}' END AS promoted,
-    CASE WHEN f.k IS NULL THEN h.score ELSE max(h.score) OVER (PARTITION BY h.query) + f.lift - 0.001 * f.k END AS score, row_number() OVER (PARTITION BY h.query ORDER BY coalesce(f.k, 1000000), h.rank) AS rank FROM {old} h LEFT JOIN {new}_kept f USING (query, chunk))"""
+    CASE WHEN f.k IS NULL THEN h.score ELSE round(max(h.score) OVER (PARTITION BY h.query) + f.lift - 0.001 * f.k, 8) END AS score, row_number() OVER (PARTITION BY h.query ORDER BY coalesce(f.k, 1000000), h.rank) AS rank FROM {old} h LEFT JOIN {new}_kept f USING (query, chunk))"""
 
 
 ORACLES = {
     "routed_questions": f"WITH {_ROUTED} SELECT query, kind, value, n FROM routed",
-    "retrieved": f"WITH {_ROUTED}, {_SEARCHED}, {_ASKED}, {_GRAPH}, {_RANKED}, {_after('sides', 'p0', 'p1')}, {_after('pay', 'p1', 'p2')} SELECT query, CAST(rank AS INTEGER) AS rank, chunk, round(score, 5) AS score, source, round(vector_score, 5) AS vector_score, round(graph_score, 5) AS graph_score, seeds, nodes, kinds, article, promoted FROM p2 WHERE rank <= {K}",
+    "retrieved": f"WITH {_ROUTED}, {_SEARCHED}, {_ASKED}, {_GRAPH}, {_RANKED}, {_after('sides', 'p0', 'p1')}, {_after('pay', 'p1', 'p2')} SELECT query, CAST(rank AS INTEGER) AS rank, chunk, score, source, vector_score, graph_score, seeds, nodes, kinds, article, promoted FROM p2 WHERE rank <= {K}",
 }
