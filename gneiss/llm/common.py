@@ -63,6 +63,12 @@ def lower_ascii(text: str | Column) -> Column:
 SMALL = 250_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffles. Spark takes a settled table's compressed bytes for its size, and would broadcast tables of
+    a million rows, which the driver has to hold many times as large."""
+    return df.hint("merge")
+
+
 def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df, to be broadcast if it has at most `most` rows (counted, so give settled tables); a larger one is joined by shuffles."""
     return F.broadcast(df) if df.count() <= most else df

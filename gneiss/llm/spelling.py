@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, lower_ascii, settle, table
+from .common import forget, lower_ascii, settle, shuffled, table
 from .jaccard import _mix, _powers
 
 LETTERS = "[a-zÀ-ÿ]+"
@@ -90,9 +90,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     keys = words.select("number", "word").mapInArrow(work, "number long, key long")
-    met = keys.select(F.col("number").alias("a"), "key").join(keys.select(F.col("number").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    text = words.select("number", "word")
-    both = met.join(text.select(F.col("number").alias("a"), F.col("word").alias("x")), "a").join(text.select(F.col("number").alias("b"), F.col("word").alias("y")), "b")
+    met = keys.select(F.col("number").alias("a"), "key").join(shuffled(keys.select(F.col("number").alias("b"), "key")), "key").where("a < b").select("a", "b").distinct()
+    x, y = (shuffled(words.select(F.col("number").alias(end), F.col("word").alias(name))) for end, name in (("a", "x"), ("b", "y")))
+    both = met.join(x, "a").join(y, "b")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
@@ -101,7 +101,7 @@ def follow(forms: DataFrame) -> DataFrame:
     jumps = settle(forms.select("number", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while jumps.where("moved").limit(1).count():
         onward = jumps.select(F.col("number").alias("root"), F.col("root").alias("next"))
-        after = settle(jumps.join(onward, "root", "left").select("number", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = settle(jumps.join(shuffled(onward), "root", "left").select("number", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         forget(jumps)
         jumps = after
     return jumps.drop("moved")
@@ -119,14 +119,14 @@ def group_variants(counts: DataFrame, *, ratio: int = 2) -> DataFrame:
     words = settle(counts.where("word is not null").select("word", "n", F.monotonically_increasing_id().alias("number")), "words")
     pairs = settle(near_pairs(words), "near")
     other = words.select(F.col("number").alias("b"), F.col("n").alias("m"), F.col("word").alias("near"))
-    ends = pairs.union(pairs.select("b", "a")).join(other, "b")
+    ends = pairs.union(pairs.select("b", "a")).join(shuffled(other), "b")
     best = ends.groupBy(F.col("a").alias("number")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), "near", "b")).alias("best"))
-    linked = words.join(best, "number", "left")
+    linked = words.join(shuffled(best), "number", "left")
     has = F.coalesce(-F.col("best.less") >= ratio * F.col("n"), F.lit(False))
     formed = settle(linked.select("number", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(has, F.col("best.b")).alias("to"), F.when(has, F.col("best.near")).alias("form"), F.when(has, -F.col("best.less")).alias("form_n")), "forms")
     roots = follow(formed.where("to is not null").select("number", F.col("to").alias("form")))
-    named = roots.join(words.select(F.col("number").alias("root"), F.col("word").alias("root_word")), "root").select("number", "root_word")
-    return formed.join(named, "number", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
+    named = roots.join(shuffled(words.select(F.col("number").alias("root"), F.col("word").alias("root_word"))), "root").select("number", "root_word")
+    return formed.join(shuffled(named), "number", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.llm import codes, queries, spelling, topk
+from gneiss.llm import codes, common, queries, spelling, topk
 
 VECTORS = "vec_id long, embedding array<double>, label int"
 MOST = (1 << 63) - 1
@@ -140,6 +140,22 @@ def test_variants_of_long_words_and_long_chains(spark):
     assert sorted(tuple(got[w]) for w in short) == sorted((w, f, r, n, m, k) for w, f, r, n, m, k in loop_variants(short))
 
 
+def test_variants_broadcast_no_table(spark, monkeypatch):
+    """Settled tables are as large as the corpus; by their compressed bytes Spark would broadcast those of a million words."""
+    plans = []
+
+    def settle(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.settle(df, name)
+
+    monkeypatch.setattr(spelling, "settle", settle)
+    counts = spark.createDataFrame([("abcde" + "f" * k, 3**k) for k in range(9)], "word string, n long")
+    settle(spelling.group_variants(counts), "out")
+    assert len(plans) > 4 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_deletion_keys_are_distinct():
     place, keys = spelling.deletion_keys(["aaa", "", "ab", "aab"])
     assert [int((place == i).sum()) for i in range(4)] == [2, 1, 3, 3]
