@@ -8,13 +8,17 @@ link there allows. A differing shingle touches one word, so two linked classes a
 bucket (band, word's place, hash of the word). P - d - 1 words of a class need no bucket: those without shingles, and as many at
 the end. Words are wide, and kept as the places of their set bits, so that different shingles seldom make the same word.
 
-Only buckets are made of whole sketches. Classes that meet others have a short sketch for each of their bands, with about three bits
+Only buckets are made of whole sketches. Classes that meet others have a short sketch for each of their bands, with about eight bits
 for each allowed difference, whose Hamming distance is a lower bound as well; a bucket's members are compared by those of its band.
+With three bits, sets that differ in half as much again as a link allows passed, so all pairs of a group of distant copies did.
 
 Buckets are not expanded into pairs. Three hubs of a bucket (its smallest class, its largest, and another one) are held against its
 members of a size that allows a link; groups of near copies are joined by that. A bucket of three, or one whose members are all
-connected, is then through. What remains is compared sketch by sketch in tiles of bounded size. Every pair that passes the sketches is verified on the whole sets. Members of a large bucket, and rows of a
-large class, are dealt into lots before they meet what is known of it.
+connected, is then through. What remains is compared sketch by sketch in tiles of bounded size. Tiles of large buckets first yield a
+forest, as many pairs as join what their pairs would; once it is verified, all tiles yield the pairs of different components, which
+are few: those that the sketches let pass wrongly, and those that a refuted pair of the forest stood for. Every pair that passes the
+sketches is verified on the whole sets. Members of a large bucket, and rows of a large class, are dealt into lots before they meet
+what is known of it.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ from .common import forget, if_small, settle, table
 from .components import components
 
 TILE = 256
+#: Buckets with more open members than this yield a forest before they yield pairs.
+FOREST = 64
+#: Bits of a short sketch for each difference that a link allows.
+SHARP = 8
 #: Rows of one bucket or class that meet what is known of it in one lot.
 LOT = 1024
 #: A size band is at most this factor wide, or as wide as two linked sets may differ: narrow bands allow few differences, so words
@@ -147,7 +155,7 @@ class Bands:
 
     def short_words(self, band: int) -> int:
         d = self.differences(band)
-        return 3 * d // 64 + 1 if d else 0
+        return SHARP * d // 64 + 1 if d else 0
 
 
 def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
@@ -285,14 +293,33 @@ def _hub_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) ->
     return one.join(sketches.alias("y"), (F.col("b") == F.col("y.cls")) & (F.col("met") == F.col("y.at"))).where(_similar("x", "y", threshold)).select("a", "b").distinct()
 
 
-def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+def _forest(pairs: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int]]:
+    """a, b of the pairs (distance, component, component, a, b), the nearest first, that join components which none before joined."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for _, c, d, a, b in sorted(pairs):
+        c, d = top(c), top(d)
+        if c != d:
+            up[c] = d
+            yield a, b
+
+
+def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction, *, forest: bool = False) -> DataFrame:
     """a, b: all pairs of different components in one bucket whose sketches allow a link, compared in tiles of two times TILE rows.
+    With forest, only those of buckets with more than FOREST members, and of each tile's pairs no more than a forest of components.
 
     Tiles of buckets with the same smallest class share a lot, and a class's sketch comes to a lot once, however many of the lot's
     tiles it is in.
     """
     p, q = threshold.numerator, threshold.denominator
     left = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("all"), F.min("cls").alias("head"), *_print("p", "q", "r")).where("least != most")
+    if forest:
+        left = left.where(F.col("size") > FOREST)
     sizes = _one_of_equals(left).withColumnRenamed("size", "left").join(left.select("bucket", "head", F.col("all").alias("size")), "bucket")
     open_ = _with_bucket(members, sizes).withColumn("tiles", F.ceil(F.col("left") / TILE).cast("int"))
     open_ = open_.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
@@ -321,12 +348,18 @@ def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) ->
             if i[first] != j[first]:
                 ok &= tile[first:last][x] != tile[first:last][y]
             x, y, u, v = x[ok], y[ok], u[ok], v[ok]
+            found = []
             for k in range(0, len(x), 1 << 14):
                 part = slice(k, k + (1 << 14))
                 apart = np.bitwise_count(sketch[x[part]] ^ sketch[y[part]]).sum(axis=1, dtype=np.int64)
                 near = apart * (p + q) <= (n[u[part]] + n[v[part]]) * (q - p)
-                a, b = cls[u[part][near]], cls[v[part][near]]
-                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+                u_, v_ = u[part][near], v[part][near]
+                a, b = np.minimum(cls[u_], cls[v_]).tolist(), np.maximum(cls[u_], cls[v_]).tolist()
+                if forest:
+                    found += zip(apart[near].tolist(), component[u_].tolist(), component[v_].tolist(), a, b, strict=True)
+                else:
+                    out.update(zip(a, b, strict=True))
+            out.update(_forest(found))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -401,8 +434,17 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: float = 0.
     links = settle(_verified(pairs, texts, width, share), "verified")
     joined = components(links)
     # Up to three members are all held against each other by then.
-    more = members.where("size > 3").join(if_small(joined), F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
-    last = settle(_tile_pairs(more, sketches, share), "pairs")
+    def open_(joined: DataFrame) -> DataFrame:
+        more = members.where("size > 3").join(if_small(joined), F.col("cls") == F.col("node"), "left")
+        return more.select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
+
+    trees = settle(_tile_pairs(open_(joined), sketches, share, forest=True), "trees")
+    if trees.count():
+        before, links = links, settle(_verified(trees, texts, width, share).union(links), "verified")
+        forget(before, joined)
+        joined = components(links)
+    forget(trees)
+    last = settle(_tile_pairs(open_(joined), sketches, share), "pairs")
     forget(members, pairs)
     every = settle(_verified(last, texts, width, share).union(links), "verified")
     forget(last, links, joined, texts, sketches)

@@ -299,6 +299,52 @@ def test_jaccard_tiles_alone_are_exact(spark):
     assert linked and linked <= pairs
 
 
+def in_one_bucket(spark, texts, share):
+    """members, sketches and texts of classes that all share a bucket for each of their bands."""
+    df = spark.createDataFrame(list(texts.items()), "cls long, text string")
+    sketches = jaccard.short_sketches(df, 2, share)
+    rows = [((1 << 10) + r["at"], r["cls"], r["cls"], len(texts)) for r in sketches.collect()]
+    return spark.createDataFrame(rows, "bucket long, cls long, component long, size long"), sketches, df
+
+
+def test_jaccard_distant_copies_are_no_pairs(spark):
+    """Copies that differ in a third more than a link allows: their sketches tell nearly all of them apart."""
+    rng = random.Random(3)
+    texts = {}
+    for k in range(60):
+        own = [f"w{i}" for i in range(400)]
+        for i in rng.sample(range(2, 398, 3), 15):
+            own[i] = f"x{k}.{i}"
+        texts[k] = " ".join(own)
+    share = Fraction("0.8")
+    members, sketches, _ = in_one_bucket(spark, texts, share)
+    assert jaccard._tile_pairs(members, sketches, share).count() < 0.1 * 60 * 59 / 2
+
+
+def test_jaccard_groups_of_copies_yield_forests(spark):
+    """Groups of near copies in one bucket: pairs grow with the copies and not with their square, and join what all pairs would."""
+    rng = random.Random(4)
+    common, texts = [f"w{i}" for i in range(80)], {}
+    for g in range(6):
+        base = [f"g{g}.{i}" if rng.random() < 0.25 else w for i, w in enumerate(common)]
+        for k in range(30):
+            own = list(base)
+            own[rng.randrange(80)] = f"x{g}.{k}"
+            texts[100 * g + k] = " ".join(own)
+    share = Fraction("0.8")
+    members, sketches, df = in_one_bucket(spark, texts, share)
+    trees = jaccard._tile_pairs(members, sketches, share, forest=True)
+    assert 174 <= trees.count() < 2 * len(texts)
+    links = jaccard._verified(trees, df, 2, share).localCheckpoint()
+    joined = {r["node"]: r["component"] for r in jaccard.components(links).collect()}
+    rows = [(r["bucket"], r["cls"], joined.get(r["cls"], r["cls"]), r["size"]) for r in members.collect()]
+    rest = jaccard._tile_pairs(spark.createDataFrame(rows, members.schema), sketches, share)
+    assert rest.count() < len(texts)
+    every = jaccard.components(jaccard._verified(rest, df, 2, share).union(links))
+    found = {r["node"]: r["component"] for r in every.collect()}
+    assert {c: found.get(c, c) for c in texts} == {c: top for c, (_, top) in brute_components(texts, 2, share).items()}
+
+
 def test_buckets_are_met_by_every_link():
     """Sets that may be linked share a bucket, whatever words either leaves out."""
     rng = np.random.default_rng(1)
