@@ -8,6 +8,10 @@ link there allows. A differing shingle touches one word, so two linked classes a
 bucket (band, word's place, hash of the word). P - d - 1 words of a class need no bucket: those without shingles, and as many at
 the end. Words are wide, and kept as the places of their set bits, so that different shingles seldom make the same word.
 
+Bucket rows are most of what is shuffled, and few of them share a bucket. They travel packed: a task sorts some of them by part (a
+remainder of the bucket's hash) and bucket, and sends a part's as one compressed block of differences. A part is met as one group; the
+number of parts grows with the rows.
+
 Only buckets are made of whole sketches. Classes that meet others have a short sketch for each of their bands, with about eight bits
 for each allowed difference, whose Hamming distance is a lower bound as well; a bucket's members are compared by those of its band.
 With three bits, sets that differ in half as much again as a link allows passed, so all pairs of a group of distant copies did.
@@ -31,7 +35,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, if_small, settle, table
@@ -52,8 +56,12 @@ PART = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _RADIX = 0x9E3779B97F4A7C15 | 1
-#: Bytes hashed at a time.
-CHUNK = 1 << 22
+#: Bytes hashed at a time; a worker holds some fifty times as much.
+CHUNK = 1 << 18
+#: Texts of a batch that are worked on at a time.
+SLICE = 512
+#: Bucket rows that a task packs at a time, and those of a part, or so.
+PACKED, MET = 1 << 19, 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,15 +82,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of lower-cased bytes, by differences of one polynomial prefix hash."""
-    size = 1 << max(12, int(len(data) + 1).bit_length())
-    power, inverse = _powers(size)
+    """Start and hash of each word of lower-cased bytes, by differences of a polynomial prefix hash over CHUNK bytes, or one longer word."""
     gap = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-    return start, _mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    word = np.zeros(len(start), dtype=np.uint64)
+    k = 0
+    while k < len(start):
+        last = max(k + 1, int(np.searchsorted(end, start[k] + CHUNK, side="right")))
+        a, b = start[k:last] - start[k], end[k:last] - start[k]
+        size = int(b[-1])
+        power, inverse = _powers(CHUNK) if size <= CHUNK else _powers.__wrapped__(size)
+        prefix = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum((data[start[k] : end[last - 1]].astype(np.uint64) + np.uint64(1)) * power[:size], out=prefix[1:])
+        word[k:last] = _mix((prefix[b] - prefix[a]) * inverse[a] + (b - a).astype(np.uint64))
+        k = last
+    return start, word
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -176,14 +191,21 @@ def part_hashes(shingles: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, SLICE rows at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE):
+            yield b.slice(k, SLICE)
+
+
 def hash_sets(docs: DataFrame, *, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (set size), cls (hash of the set, null for an empty one)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             sets = [(len(s), np.uint64(_mix(np.array([_mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]).view(np.int64) if len(s) else None) for s in shingle_sets(b.column(1).to_pylist(), width)]
-            n, cls = zip(*sets, strict=True) if sets else ((), ())
+            n, cls = zip(*sets, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["id", "n", "cls"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -195,7 +217,7 @@ def short_sketches(texts: DataFrame, width: int, threshold: Fraction) -> DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
-        for b in batches:
+        for b in _sliced(batches):
             rows = []
             for cls, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), width), strict=True):
                 for at in bands.sides(len(s)) if len(s) else ():
@@ -232,19 +254,82 @@ def bucket_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _bucket_rows(texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """bucket, cls, n of the classes' texts (cls, text)."""
+def _pack(keys: np.ndarray, cls: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """part, rows, block of bucket rows. A block has the differences of the sorted buckets' quotients, their bands, the classes and
+    the sizes, by place of their bytes, of which most are 0."""
+    quotient, part = np.divmod(keys >> np.uint64(10), np.uint64(parts))
+    order = np.lexsort((quotient, part))
+    columns = [x[order].view(np.uint64) for x in (quotient, keys & np.uint64(1023), cls, n)]
+    part = part[order]
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    codec = pa.Codec("zstd", 1)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            own = np.stack([np.diff(columns[0][a:b], prepend=np.uint64(0)), *(x[a:b] for x in columns[1:])])
+            yield int(part[a]), b - a, codec.compress(own.view(np.uint8).reshape(4, b - a, 8).transpose(0, 2, 1).tobytes(), asbytes=True)
+
+
+def _unpack(blocks: list[tuple[int, int, bytes]], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """buckets, classes and sizes of blocks."""
+    codec, found = pa.Codec("zstd", 1), []
+    for part, rows, block in blocks:
+        raw = np.frombuffer(codec.decompress(block, 32 * rows, asbytes=True), dtype=np.uint8).reshape(4, 8, rows)
+        own = raw.transpose(0, 2, 1).copy(order="C").view(np.uint64)[:, :, 0]
+        own[0] = (np.cumsum(own[0], dtype=np.uint64) * np.uint64(parts) + np.uint64(part)) << np.uint64(10) | own[1]
+        found.append(own[[0, 2, 3]])
+    bucket, cls, n = np.concatenate(found, axis=1).view(np.int64)
+    return bucket, cls, n
+
+
+def _packed_rows(texts: DataFrame, width: int, threshold: Fraction, parts: int) -> DataFrame:
+    """part, rows, block of the bucket rows of the classes' texts (cls, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
-        for b in batches:
-            sets = [(len(s), bucket_keys(s, bands)) for s in shingle_sets(b.column(1).to_pylist(), width)]
-            times = [len(k) for _, k in sets]
-            cls, n = np.repeat(b.column(0).to_numpy(), times), np.repeat(np.array([m for m, _ in sets], dtype=np.int64), times)
-            buckets = np.concatenate([k for _, k in sets]).astype(np.int64) if sets else np.zeros(0, dtype=np.int64)
-            yield from pa.table({"bucket": pa.array(buckets), "cls": pa.array(cls, pa.int64()), "n": pa.array(n)}).to_batches(max_chunksize=1 << 16)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
-    return texts.select("cls", "text").mapInArrow(work, "bucket long, cls long, n long")
+        def flush() -> pa.RecordBatch:
+            columns = zip(*_pack(*(np.concatenate(x) for x in zip(*held, strict=True)), parts), strict=True)
+            types = [pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "rows", "block"])
+
+        for b in _sliced(batches):
+            for cls, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), width), strict=True):
+                if len(keys := bucket_keys(s, bands)):
+                    held.append((keys, np.full(len(keys), cls, dtype=np.int64), np.full(len(keys), len(s), dtype=np.int64)))
+                    size += len(keys)
+                if size >= PACKED:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return texts.select("cls", "text").mapInArrow(work, "part int, rows int, block binary")
+
+
+def _bucket_members(texts: DataFrame, width: int, threshold: Fraction, parts: int) -> DataFrame:
+    """bucket, cls, n, size of the bucket, and its hubs least, most and third (cls, n), of the classes (cls, text) that share a bucket."""
+    hub = "struct<cls:long,n:long>"
+
+    def meet(t: pa.Table) -> pa.Table:
+        bucket, cls, n = _unpack(list(zip(*(t.column(c).to_pylist() for c in ("part", "rows", "block")), strict=True)), parts)
+        order = np.lexsort((cls, bucket))
+        bucket, cls, n = bucket[order], cls[order], n[order]
+        begin = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
+        size = np.diff(begin, append=len(bucket))
+        shared = cls[begin] != cls[begin + size - 1]
+        kept = np.repeat(shared, size)
+        bucket, cls, n = bucket[kept], cls[kept], n[kept]
+        size = size[shared]
+        begin = np.cumsum(size) - size
+        h = _mix(cls.view(np.uint64) + np.uint64(7))
+        lowest = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, begin), size)) if len(h) else begin
+        hubs = [np.repeat(at, size) for at in (begin, begin + size - 1, lowest[np.searchsorted(lowest, begin)])]
+        hubs = [pa.StructArray.from_arrays([pa.array(cls[at]), pa.array(n[at])], names=["cls", "n"]) for at in hubs]
+        return pa.table([pa.array(bucket), pa.array(cls), pa.array(n), pa.array(np.repeat(size, size)), *hubs], names=["bucket", "cls", "n", "size", "least", "most", "third"])
+
+    return _packed_rows(texts, width, threshold, parts).groupBy("part").applyInArrow(meet, f"bucket long, cls long, n long, size long, least {hub}, most {hub}, third {hub}")
 
 
 #: The band of a bucket.
@@ -417,14 +502,14 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: float = 0.
     rows = settle(hash_sets(hashed.select(F.struct("id", "h").alias("key"), "text"), width=width, id_col="key"), "sets")
     rows = rows.select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), "n", F.col("cls").alias("set"))
     # Classes are numbered: numbers are smaller in shuffles than hashes. The same number follows a set everywhere.
-    numbered = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("one"), F.count("*").alias("copies"))
-    classes = settle(numbered.select("set", "one", "copies", F.monotonically_increasing_id().alias("cls")), "classes")
+    numbered = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = settle(numbered.select("set", "one", "copies", "n", F.monotonically_increasing_id().alias("cls")), "classes")
     first = if_small(classes.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")))
     texts = hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text")
-    own, in_bucket = F.struct("cls", "n"), Window.partitionBy("bucket")
-    third = F.min(F.struct(F.xxhash64("cls", F.lit(7)).alias("at"), own.alias("own"))).over(in_bucket)["own"]
-    dealt = _bucket_rows(texts, width, share).select("bucket", "cls", "n", F.count("*").over(in_bucket).alias("size"), F.min(own).over(in_bucket).alias("least"), F.max(own).over(in_bucket).alias("most"), third.alias("third"))
-    members = settle(dealt.where("least.cls != most.cls"), "members")
+    # A band's sketches have at most so many words for each shingle, and a class two sketches.
+    rate = Fraction(22, 5) * (1 - share) / (1 + share) / Bands(share).factor
+    parts = int((classes.agg(F.sum("n")).first()[0] or 0) * rate / MET) + 1
+    members = settle(_bucket_members(texts, width, share, parts), "members")
     involved = members.select("cls").distinct().join(classes, "cls")
     first = if_small(settle(involved.select("cls", F.col("one.id").alias("__id"), F.col("one.h").alias("__h")), "involved"))
     texts = settle(hashed.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("cls", "text"), "texts")

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -279,6 +280,44 @@ def test_jaccard_join(spark, width, threshold):
     assert got == brute_components(texts, width, Fraction(threshold))
 
 
+def test_shingles_hold_little():
+    """Sets of many and of long texts: what is held at a time is bounded, and a text's set is the same wherever its words are cut."""
+    words = [f"w{k % 997}" for k in range(400_000)]
+    texts = [" ".join(words), *(" ".join(words[k : k + 400]) for k in range(0, 400_000, 400)), "y" * 300_000 + " z"]
+    jaccard._powers.cache_clear()
+    tracemalloc.start()
+    sizes = [len(s) for s in jaccard.shingle_sets(texts[1:-1], 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sizes) == 1000 and peak < 25e6
+    whole, *_, odd = jaccard.shingle_sets(texts, 5)
+    assert len(whole) == 997 and set(next(jaccard.shingle_sets(texts[1:2], 5)).tolist()) <= set(whole.tolist()) and len(odd) == 1
+
+
+def test_jaccard_bucket_rows_are_packed(spark):
+    """Bucket rows travel in under ten bytes each, and meet as they are: every class of a shared bucket, with its size and hubs."""
+    rng = random.Random(7)
+    texts = {}
+    for g in range(40):
+        base = [f"g{g}.{i}" for i in range(rng.choice([3, 30, 400]))]
+        for k in range(rng.choice([1, 2, 9])):
+            texts[(g << 33) + k] = " ".join(base[: len(base) - k])
+    df, share, bands = spark.createDataFrame(list(texts.items()), "cls long, text string"), Fraction("0.8"), jaccard.Bands(Fraction("0.8"))
+    by = collections.defaultdict(set)
+    for cls, s in zip(texts, jaccard.shingle_sets(list(texts.values()), 2), strict=True):
+        for bucket in jaccard.bucket_keys(s, bands).tolist():
+            by[bucket].add((cls, len(s)))
+    blocks = jaccard._packed_rows(df.coalesce(1), 2, share, 5).collect()
+    rows = sum(r["rows"] for r in blocks)
+    assert {r["part"] for r in blocks} == set(range(5)) and rows >= sum(map(len, by.values())) and sum(len(r["block"]) for r in blocks) < 10 * rows
+    got = collections.defaultdict(set)
+    for r in jaccard._bucket_members(df, 2, share, 5).collect():
+        got[r["bucket"]].add((r["cls"], r["n"]))
+        all_ = by[r["bucket"]]
+        assert r["size"] == len(all_) and tuple(r["least"]) == min(all_) and tuple(r["most"]) == max(all_) and tuple(r["third"]) in all_
+    assert got and got == {b: m for b, m in by.items() if len(m) > 1}
+
+
 def test_jaccard_tiles_alone_are_exact(spark):
     """Without hubs, in tiles of three rows, the same pairs come out."""
     rng = random.Random(9)
