@@ -41,7 +41,10 @@ from pyspark.sql import functions as F
 from .common import forget, if_small, settle, table
 from .components import components
 
-TILE = 256
+#: Rows of a tile: a member of a large bucket is copied once for each of them. BLOCK of a tile's rows are compared at a time.
+TILE, BLOCK = 1024, 64
+#: Rows of tiles, and pairs with one text, that are met together.
+DEALT, PAIRS = 1 << 14, 256
 #: Buckets with more open members than this yield a forest before they yield pairs.
 FOREST = 64
 #: Bits of a short sketch for each difference that a link allows.
@@ -378,8 +381,8 @@ def _hub_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction) ->
     return one.join(sketches.alias("y"), (F.col("b") == F.col("y.cls")) & (F.col("met") == F.col("y.at"))).where(_similar("x", "y", threshold)).select("a", "b").distinct()
 
 
-def _forest(pairs: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int]]:
-    """a, b of the pairs (distance, component, component, a, b), the nearest first, that join components which none before joined."""
+def _forest(pairs: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """The pairs (distance, component, component, a, b), the nearest first, that join components which none before joined."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -387,11 +390,11 @@ def _forest(pairs: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int,
             up[x] = x = up.get(y, y)
         return x
 
-    for _, c, d, a, b in sorted(pairs):
-        c, d = top(c), top(d)
+    for pair in sorted(pairs):
+        c, d = top(pair[1]), top(pair[2])
         if c != d:
             up[c] = d
-            yield a, b
+            yield pair
 
 
 def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction, *, forest: bool = False) -> DataFrame:
@@ -420,35 +423,40 @@ def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction, *,
         bucket, i, j, tile = (places.flatten().field(c).to_numpy() for c in ("bucket", "i", "j", "tile"))
         order = np.lexsort((j, i, bucket))
         row, bucket, i, j, tile = (x[order] for x in (row, bucket, i, j, tile))
-        out: set[tuple[int, int]] = set()
+        out = [np.zeros((0, 2), dtype=np.int64)]
         cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(bucket)]
         for first, last in zip(cuts, cuts[1:], strict=False):
             if last - first < 2:
                 continue
             own, at = row[first:last], int(bucket[first]) & 1023
             sketch = flat[begin[own][:, None] + np.arange(width[own[0]])]  # of one band, so of one length
-            x, y = np.triu_indices(last - first, 1)
-            u, v = own[x], own[y]
-            ok = (component[u] != component[v]) & (q * np.minimum(n[u], n[v]) >= p * np.maximum(n[u], n[v])) & (np.maximum(band[u], band[v]) == at)
-            if i[first] != j[first]:
-                ok &= tile[first:last][x] != tile[first:last][y]
-            x, y, u, v = x[ok], y[ok], u[ok], v[ok]
-            found = []
-            for k in range(0, len(x), 1 << 14):
-                part = slice(k, k + (1 << 14))
-                apart = np.bitwise_count(sketch[x[part]] ^ sketch[y[part]]).sum(axis=1, dtype=np.int64)
-                near = apart * (p + q) <= (n[u[part]] + n[v[part]]) * (q - p)
-                u_, v_ = u[part][near], v[part][near]
-                a, b = np.minimum(cls[u_], cls[v_]).tolist(), np.maximum(cls[u_], cls[v_]).tolist()
-                if forest:
-                    found += zip(apart[near].tolist(), component[u_].tolist(), component[v_].tolist(), a, b, strict=True)
+            trees: list[tuple[int, int, int, int, int]] = []
+            for block in range(0, last - first - 1, BLOCK):
+                x, y = np.nonzero(np.arange(last - first) > np.arange(block, min(block + BLOCK, last - first))[:, None])
+                x += block
+                if i[first] != j[first]:
+                    across = tile[first:last][x] != tile[first:last][y]
+                    x, y = x[across], y[across]
+                u, v = own[x], own[y]
+                ok = (component[u] != component[v]) & (q * np.minimum(n[u], n[v]) >= p * np.maximum(n[u], n[v])) & (np.maximum(band[u], band[v]) == at)
+                x, y, u, v = x[ok], y[ok], u[ok], v[ok]
+                apart = np.zeros(len(x), dtype=np.int64)
+                for k in range(0, len(x), 1 << 14):
+                    part = slice(k, k + (1 << 14))
+                    apart[part] = np.bitwise_count(sketch[x[part]] ^ sketch[y[part]]).sum(axis=1, dtype=np.int64)
+                near = apart * (p + q) <= (n[u] + n[v]) * (q - p)
+                u, v = u[near], v[near]
+                a, b = np.minimum(cls[u], cls[v]), np.maximum(cls[u], cls[v])
+                if forest:  # a forest of a forest and more pairs is one of them all
+                    trees = list(_forest(trees + list(zip(*(x.tolist() for x in (apart[near], component[u], component[v], a, b)), strict=True))))
                 else:
-                    out.update(zip(a, b, strict=True))
-            out.update(_forest(found))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    out.append(np.stack([a, b], axis=1))
+            if trees:
+                out.append(np.array(trees, dtype=np.int64)[:, 3:])
+        a, b = np.unique(np.concatenate(out), axis=0).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    lots = max(1, dealt.count() // (64 * TILE))  # small buckets share a lot
+    lots = max(1, dealt.count() // DEALT)  # small buckets share a lot
     lot = F.pmod(F.xxhash64("head", "i", "j"), F.lit(lots)).alias("lot")
     once = dealt.groupBy(lot, "cls", F.expr(AT).alias("at")).agg(F.first("component").alias("component"), F.collect_list(F.struct("bucket", "i", "j", "tile")).alias("tiles"))
     return once.join(sketches, ["cls", "at"]).groupBy("lot").applyInArrow(compare, "a long, b long").distinct()
@@ -457,10 +465,10 @@ def _tile_pairs(members: DataFrame, sketches: DataFrame, threshold: Fraction, *,
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """The pairs of classes (a, b) whose whole sets are similar enough. texts: cls, text.
 
-    Pairs are grouped by a, at most TILE or so of them in a group, with the text of a beside those of its b.
+    Pairs are grouped by a, at most PAIRS or so of them in a group, with the text of a beside those of its b.
     """
     p, q = threshold.numerator, threshold.denominator
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("groups"))
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("groups"))
     dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
     needed = dealt.select("a", "part", "b").union(dealt.select("a", "part", F.col("a").alias("b")).distinct())
     lots = max(1, pairs.count() // 64)  # small groups share a lot

@@ -360,6 +360,18 @@ def test_jaccard_distant_copies_are_no_pairs(spark):
     assert jaccard._tile_pairs(members, sketches, share).count() < 0.1 * 60 * 59 / 2
 
 
+def test_jaccard_tiles_copy_members_seldom(spark):
+    """A bucket of nine hundred members is one tile, compared in blocks, and no pair is lost between blocks."""
+    texts = {k: " ".join([*(f"w{i}" for i in range(20)), *(f"g{k % 450}.{i}" for i in range(60)), f"x{k}"]) for k in range(900)}
+    share = Fraction("0.8")
+    members, sketches, _ = in_one_bucket(spark, texts, share)
+    assert members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.ceil(F.col("n") / jaccard.TILE) > 1).isEmpty()
+    wanted = {(k, 450 + k) for k in range(450)}
+    for forest in (False, True):
+        pairs = {(r["a"], r["b"]) for r in jaccard._tile_pairs(members, sketches, share, forest=forest).collect()}
+        assert wanted <= pairs and len(pairs) < 2 * len(wanted)
+
+
 def test_jaccard_groups_of_copies_yield_forests(spark):
     """Groups of near copies in one bucket: pairs grow with the copies and not with their square, and join what all pairs would."""
     rng = random.Random(4)
