@@ -41,7 +41,7 @@ def article_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, d, "documents").select("doc_id", "source", F.posexplode(S.pack_units(lines, 1200, "\n")).alias("n", "chunk"))
 
 
