@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, sparse
 from ..operators.containment import contained
-from ..sources.tables import table
-from .text_queries import _BM25, _OVERLAP, _char_postings
+from ..sources.tables import settle, table
+from .text_queries import _BM25, _OVERLAP, bm25_of, searched
 
 K = 10
 
@@ -23,8 +23,14 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
     return sparse.top_k(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", K)
 
 
-def _metrics(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
-    return evaluation.per_query(hits, truth(spark, d), "item_id", "doc_id", K)
+def _metrics(spark: SparkSession, d: str, *lists: DataFrame) -> list[DataFrame]:
+    """Of each list of hits, against one truth."""
+    known = settle(truth(spark, d), "truth")
+    return [evaluation.per_query(hits, known, "item_id", "doc_id", K) for hits in lists]
+
+
+def _bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d, _bm25(spark, d))[0]
 
 
 def ground_truth(spark: SparkSession, d: str) -> DataFrame:
@@ -32,54 +38,59 @@ def ground_truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return _metrics(spark, d, _bm25(spark, d)).select("item_id", "n_relevant", "found", F.round("recall", 4).alias("recall"))
+    return _bm25_metrics(spark, d).select("item_id", "n_relevant", "found", F.round("recall", 4).alias("recall"))
 
 
 def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return _metrics(spark, d, _bm25(spark, d)).select("item_id", F.round("precision", 4).alias("precision"))
+    return _bm25_metrics(spark, d).select("item_id", F.round("precision", 4).alias("precision"))
 
 
 def mrr(spark: SparkSession, d: str) -> DataFrame:
     """The mean reciprocal rank, with misses as 0 and without them."""
-    m = _metrics(spark, d, _bm25(spark, d))
+    m = _bm25_metrics(spark, d)
     return m.agg(F.count("*").alias("n"), F.round(F.avg("reciprocal"), 4).alias("mrr"), F.round(F.avg(1 / F.col("first_rank")), 4).alias("mrr_of_found"))
 
 
 def ndcg(spark: SparkSession, d: str) -> DataFrame:
-    return _metrics(spark, d, _bm25(spark, d)).select("item_id", "first_rank", F.round("ndcg", 4).alias("ndcg"))
+    return _bm25_metrics(spark, d).select("item_id", "first_rank", F.round("ndcg", 4).alias("ndcg"))
 
 
 def forbidden_rate(spark: SparkSession, d: str) -> DataFrame:
     """Of each item's first five hits, those in a source that it may not use (src0)."""
-    hits = _bm25(spark, d).where("rank <= 5").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return _forbidden(spark, d, _bm25(spark, d))
+
+
+def _forbidden(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    hits = found.where("rank <= 5").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return hits.groupBy("item_id").agg(F.sum((F.col("source") == "src0").cast("int")).alias("violations"), F.min(F.when(F.col("source") == "src0", F.col("rank"))).alias("first_violation"))
 
 
-def _modes(spark: SparkSession, d: str) -> DataFrame:
-    a = _metrics(spark, d, _bm25(spark, d)).withColumn("mode", F.lit("bm25"))
-    b = _metrics(spark, d, _char_postings(spark, d)).withColumn("mode", F.lit("overlap"))
-    return a.unionByName(b)
+def _modes(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Metrics of BM25 and of token overlap."""
+    held = searched(spark, d)
+    return _metrics(spark, d, bm25_of(held, K), sparse.overlaps(held, 24))
 
 
 def mode_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.rollup(_modes(spark, d), "mode")
+    a, b = _modes(spark, d)
+    return evaluation.rollup(a.withColumn("mode", F.lit("bm25")).unionByName(b.withColumn("mode", F.lit("overlap"))), "mode")
 
 
 def category_rollup(spark: SparkSession, d: str) -> DataFrame:
     """By the items' length class."""
     size = table(spark, d, "benchmark").select("item_id", F.when(F.length("text") < 150, "short").when(F.length("text") < 300, "medium").otherwise("long").alias("category"))
-    return evaluation.rollup(_metrics(spark, d, _bm25(spark, d)).join(size, "item_id"), "category")
+    return evaluation.rollup(_bm25_metrics(spark, d).join(size, "item_id"), "category")
 
 
 def failure_reasons(spark: SparkSession, d: str) -> DataFrame:
     """How many items fail for which reason, in this order: no answer in the corpus, not retrieved, ranked too low (beyond 3)."""
-    items = table(spark, d, "benchmark").select("item_id").join(_metrics(spark, d, _bm25(spark, d)), "item_id", "left")
+    items = table(spark, d, "benchmark").select("item_id").join(_bm25_metrics(spark, d), "item_id", "left")
     reason = F.when(F.col("n_relevant").isNull(), "out_of_corpus").when(F.col("first_rank").isNull(), "missing_required").when(F.col("first_rank") > 3, "ranked_low").otherwise("none")
     return items.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 def mode_pairing(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.pair_modes(_metrics(spark, d, _bm25(spark, d)), _metrics(spark, d, _char_postings(spark, d)), "item_id")
+    return evaluation.pair_modes(*_modes(spark, d), "item_id")
 
 
 def citation_order(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +102,8 @@ def citation_order(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
     """100 x (.45 x (.75 x coverage + .25 x clean) + .55 x mean of four checks), two decimals."""
-    m = evaluation.passed(_metrics(spark, d, _bm25(spark, d))).join(forbidden_rate(spark, d), "item_id")
+    found = _bm25(spark, d)
+    m = evaluation.passed(*_metrics(spark, d, found)).join(_forbidden(spark, d, found), "item_id")
     clean = 1 - F.least(F.col("violations") / 5, F.lit(1.0))
     checks = ((F.col("found") > 0).cast("int") + (F.coalesce("first_rank", F.lit(99)) == 1).cast("int") + F.col("passed").cast("int") + (F.col("violations") == 0).cast("int")) / 4
     return m.select("item_id", F.round(100 * (0.45 * (0.75 * F.col("recall") + 0.25 * clean) + 0.55 * checks), 2).alias("quality"))
