@@ -5,7 +5,9 @@ A citation names a document, an article (dieu), clauses (khoan) and points (diem
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, unaccent
@@ -87,23 +89,38 @@ def correctness(expected: Column, observed: Column, *, scoped: bool = False) ->
     return F.when(F.size(expected) == 0, "na" if scoped else "no").when(covered == F.size(expected), "exact").when(covered > 0, "partial").otherwise("no")
 
 
-def hint_tokens(c: Column) -> Column:
-    """dieu_n, then khoan_n, then diem_x for each that a text names, with repeats."""
-    folded = fold(c)
-
+def _hints(folded: Column) -> Column:
     def named(name: str, pattern: str) -> Column:
         return F.transform(all_of(folded, pattern), lambda x: F.concat(F.lit(f"{name}_"), x))
 
     return F.concat(*[named(*hint) for hint in HINTS])
 
 
-def overlap(allowed: Column, requested: Column) -> Column:
-    """Whether two citations are the same, or one holds the other (as folded or as bare words) without naming other parts."""
-    a, b, c, d = fold(allowed), fold(requested), surface(allowed), surface(requested)
-    t, u = F.array_distinct(hint_tokens(allowed)), F.array_distinct(hint_tokens(requested))
+def hint_tokens(c: Column) -> Column:
+    """dieu_n, then khoan_n, then diem_x for each that a text names, with repeats."""
+    return _hints(fold(c))
+
+
+def with_form(rows: DataFrame, c: str, name: str) -> DataFrame:
+    """Adds a struct of what overlapping needs of a citation: folded, bare (its surface), n (hint tokens), tokens (each once). Each row is folded once."""
+    folded, hints = F.col("__folded"), F.col("__hints")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(folded, r"\([^)]*\)", " "), "[^a-z0-9]+", " "))
+    out = rows.withColumn("__folded", fold(F.col(c))).withColumn("__hints", _hints(folded))
+    return out.withColumn(name, F.struct(folded.alias("folded"), bare.alias("bare"), F.size(hints).alias("n"), F.array_distinct(hints).alias("tokens"))).drop("__folded", "__hints")
+
+
+def forms_overlap(allowed: Column, requested: Column) -> Column:
+    """overlap of two structs of with_form."""
+    a, b, c, d, t, u = allowed["folded"], requested["folded"], allowed["bare"], requested["bare"], allowed["tokens"], requested["tokens"]
     nested = F.contains(a, b) | F.contains(b, a) | ((c != "") & F.contains(d, c)) | ((d != "") & F.contains(c, d))
     agree = (F.size(t) == 0) | (F.size(u) == 0) | (F.size(F.array_except(t, u)) == 0) | (F.size(F.array_except(u, t)) == 0)
-    return (a != "") & (b != "") & ((a == b) | ((c != "") & (c == d)) | (agree & nested))
+    return (a != "") & (b != "") & ((a == b) | ((c != "") & (c == d)) | (nested & agree))
+
+
+def overlap(allowed: Column, requested: Column) -> Column:
+    """Whether two citations are the same, or one holds the other (as folded or as bare words) without naming other parts."""
+    forms = [F.struct(fold(c).alias("folded"), surface(c).alias("bare"), F.array_distinct(hint_tokens(c)).alias("tokens")) for c in (allowed, requested)]
+    return forms_overlap(*forms)
 
 
 def article_numbers(c: Column) -> Column:
@@ -113,9 +130,12 @@ def article_numbers(c: Column) -> Column:
 
 def families(c: Column, signatures: list[tuple[str, list[str]]]) -> Column:
     """The names whose signatures (any of them) a text's bare words hold, in the order given."""
-    words = letters_and_digits(c)
-    found = [F.when(F.array_contains(F.transform(F.array(*map(F.lit, own)), lambda s: F.contains(words, s)), True), name) for name, own in signatures]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    def found(words: Column) -> Column:
+        # A lambda's variable: the text is folded once, however many signatures there are.
+        held = [F.when(reduce(Column.__or__, [F.contains(words, F.lit(x)) for x in own], F.lit(False)), name) for name, own in signatures]
+        return F.filter(F.array(*held), lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(letters_and_digits(c)), lambda words: found(words)), F.lit(0))
 
 
 def id_token(c: Column) -> Column:

@@ -5,11 +5,41 @@ Citations meet the contexts' citations of the same answer only, so a join compar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .citations import article_numbers, hint_tokens, overlap, surface
+from .citations import HINTS, all_of, article_numbers, forms_overlap, surface, with_form
+
+
+def _told(c: str) -> Column:
+    return F.trim(F.coalesce(c, F.lit(""))) != ""
+
+
+def _matched(requests: DataFrame, allowed: DataFrame, *more: str) -> DataFrame:
+    """answer, place, citation, copies (how often it is asked so), more, canonical, and cited: the least rank, if allowed has one, of the
+    allowed citations that read the same. requests: a row for each answer, place, citation and more, with copies and form.
+
+    Citations are folded before they meet, and rows of an answer stay together, so nothing is dealt out again.
+    """
+    ranks = "rank" in allowed.columns
+    own = with_form(allowed.select("answer", "index", F.col("citation").alias("meant"), F.col("rank") if ranks else F.lit(None).cast("int").alias("rank"), _told("citation").alias("told")), "meant", "own")
+    asked = requests.withColumnRenamed("answer", "asked").withColumn("asks", _told("citation"))
+    mine, other = F.col("form"), F.col("own")
+    means = F.col("asks") & F.col("told")
+    met = (F.col("citation") == F.col("meant")) | (means & ((mine["folded"] == other["folded"]) | forms_overlap(other, mine)))
+    pairs = asked.join(own, (F.col("asked") == F.col("answer")) & met, "left")
+    same = mine["folded"] == other["folded"]
+    apart, longer = F.abs(other["n"] - mine["n"]), F.abs(F.length(other["folded"]) - F.length(mine["folded"]))
+    best = F.when(means & same, F.struct(F.lit(0).alias("fuzzy"), F.lit(0).alias("apart"), F.lit(0).alias("longer"), "index", "meant")).when(means, F.struct(F.lit(1).alias("fuzzy"), apart.alias("apart"), longer.alias("longer"), "index", "meant"))
+    one = pairs.groupBy(F.col("asked").alias("answer"), "place", "citation", "copies", *more).agg(F.min(best).alias("best"), F.min(F.when(F.col("citation") == F.col("meant"), F.col("rank"))).alias("cited"))
+    # Requests at one place of an answer mean the same; null is no place.
+    canonical = F.when(F.col("place").isNotNull(), F.min("best").over(Window.partitionBy("answer", "place"))["meant"])
+    return one.select("answer", "place", "citation", "copies", *more, canonical.alias("canonical"), "cited")
+
+
+def _once(requests: DataFrame) -> DataFrame:
+    return with_form(requests.groupBy("answer", "place", "citation").agg(F.count("*").alias("copies")), "citation", "form")
 
 
 def canonical_citations(requests: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -18,15 +48,8 @@ def canonical_citations(requests: DataFrame, allowed: DataFrame) -> DataFrame:
     One that is the same in folded form comes first, by index; then of those that overlap the one with the closest number of named
     parts, then of length, then the first. Null if none does. Blank and null citations mean nothing and are meant by none.
     """
-    mine, other = F.col("citation"), F.col("meant")
-    own = allowed.where(F.trim(F.coalesce("citation", F.lit(""))) != "").select("answer", "index", F.col("citation").alias("meant"))
-    asked = requests.select("answer", "place", "citation")
-    same = fold(mine) == fold(other)
-    apart = F.abs(F.size(hint_tokens(other)) - F.size(hint_tokens(mine)))
-    longer = F.abs(F.length(fold(other)) - F.length(fold(mine)))
-    rank = F.when(same, F.struct(F.lit(0).alias("fuzzy"), F.lit(0).alias("apart"), F.lit(0).alias("longer"), F.col("index"), other.alias("meant"))).when(overlap(other, mine), F.struct(F.lit(1).alias("fuzzy"), apart.alias("apart"), longer.alias("longer"), F.col("index"), other.alias("meant")))
-    best = asked.where(F.trim(F.coalesce("citation", F.lit(""))) != "").join(own, "answer").groupBy("answer", "place").agg(F.min(rank)["meant"].alias("canonical"))
-    return asked.join(best, ["answer", "place"], "left")
+    found = _matched(_once(requests), allowed)
+    return found.select("answer", "place", "citation", "canonical", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def legal_basis(canonical: DataFrame) -> DataFrame:
@@ -48,14 +71,20 @@ def validate_answers(answers: DataFrame, requests: DataFrame, contexts: DataFram
     basis; all of the basis must be allowed; articles that it or its basis names must be in the contexts; it may not leave a higher text
     unnamed; one that is insufficient must say so, by a hint. An answer without requests or contexts is judged by what is left.
     """
-    canonical = canonical_citations(requests, contexts)
-    named = requests.join(answers.select("answer", "text"), "answer").select("answer", "citation", mentions(F.col("text"), F.col("citation")).alias("said"))
-    ranks = requests.select("answer", "citation").distinct().join(contexts.select("answer", "citation", "rank"), ["answer", "citation"]).groupBy("answer").agg(F.min("rank").alias("cited"))
-    basis = named.groupBy("answer").agg(F.max("said").alias("said"), F.array_distinct(F.flatten(F.collect_list(article_numbers(F.col("citation"))))).alias("basis_articles"))
-    missed = canonical.groupBy("answer").agg(F.count_if(F.col("canonical").isNull()).alias("n_unretrieved"))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(fold(F.col("text")), r"\([^)]*\)", " "), "[^a-z0-9]+", " "))
+    texts = answers.select("answer", fold(F.col("text")).alias("folded"), bare.alias("bare")).groupBy("answer").agg(F.collect_list(F.struct("folded", "bare")).alias("texts"))
+    form = F.col("form")
+    held = lambda t, name: (form[name] != "") & F.contains(t[name], form[name])
+    named = F.exists("texts", lambda t: held(t, "folded") | held(t, "bare"))
+    articles_of = F.array_distinct(all_of(form["folded"], HINTS[0][1]))
+    asked = _once(requests).join(texts, "answer").withColumns({"said": named, "articles": articles_of}).drop("texts")
+    basis = _matched(asked, contexts, "said", "articles").groupBy("answer").agg(
+        F.max("said").alias("said"), F.array_distinct(F.flatten(F.collect_list("articles"))).alias("basis_articles"),
+        F.sum(F.when(F.col("canonical").isNull(), F.col("copies")).otherwise(0)).alias("n_unretrieved"), F.min("cited").alias("cited"),
+    )
     known = contexts.groupBy("answer").agg(F.count("*").alias("n_contexts"), F.min("rank").alias("highest"), F.array_distinct(F.flatten(F.collect_list(F.concat(F.array_compact(F.array("article")), F.coalesce(article_numbers(F.col("citation")), F.array().cast("array<string>")))))).alias("articles"))
     out = answers
-    for part in (basis, missed, known, ranks):
+    for part in (basis, known):
         out = out.join(part, "answer", "left")
     none = F.array().cast("array<string>")
     text = F.coalesce("text", F.lit(""))

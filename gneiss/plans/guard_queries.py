@@ -25,7 +25,8 @@ _ANSWERS = """SELECT answer, CASE WHEN answer % 5 = 4 THEN 'Không rõ. ' ELSE '
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    contexts = spark.sql(_CONTEXTS.format(s="STRING", lineitem="{lineitem}"), lineitem=table(spark, d, "lineitem"))
+    lines = table(spark, d, "lineitem").repartition("l_orderkey")  # an answer's rows stay together from here on
+    contexts = spark.sql(_CONTEXTS.format(s="STRING", lineitem="{lineitem}"), lineitem=lines)
     requests = spark.sql(_REQUESTS.format(s="STRING", contexts="{contexts}"), contexts=contexts)
     return contexts, requests, spark.sql(_ANSWERS.format(s="STRING", requests="{requests}"), requests=requests)
 
