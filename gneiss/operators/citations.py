@@ -54,14 +54,22 @@ def values(form: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten(split), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: x != "")))
 
 
+def only(found: Column) -> Column:
+    """The member of an array of one; else null."""
+    return F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))), F.lit(0))
+
+
 def parse(c: Column, documents: Documents) -> Column:
     """struct: document (the first whose pattern is met, or null), article (null unless all that are named are one), clauses, points."""
-    form = citation_form(c)
+    return parse_form(citation_form(c), documents)
+
+
+def parse_form(form: Column, documents: Documents) -> Column:
+    """parse of a text's citation_form."""
     document = F.lit(None).cast("string")
     for name, pattern in reversed(documents):
         document = F.when(form.rlike(pattern), name).otherwise(document)
-    articles = F.array_distinct(all_of(form, ARTICLE))
-    return F.struct(document.alias("document"), F.when(F.size(articles) == 1, articles[0]).alias("article"), values(form, CLAUSES).alias("clauses"), values(form, POINTS).alias("points"))
+    return F.struct(document.alias("document"), only(F.array_distinct(all_of(form, ARTICLE))).alias("article"), values(form, CLAUSES).alias("clauses"), values(form, POINTS).alias("points"))
 
 
 def contains(found: Column, expected: Column, *, broad: bool = True) -> Column:
@@ -130,12 +138,17 @@ def article_numbers(c: Column) -> Column:
 
 def families(c: Column, signatures: list[tuple[str, list[str]]]) -> Column:
     """The names whose signatures (any of them) a text's bare words hold, in the order given."""
+    return families_of(letters_and_digits(c), signatures)
+
+
+def families_of(words: Column, signatures: list[tuple[str, list[str]]]) -> Column:
+    """families of a text's bare words."""
     def found(words: Column) -> Column:
-        # A lambda's variable: the text is folded once, however many signatures there are.
+        # A lambda's variable: the words are made once, however many signatures there are.
         held = [F.when(reduce(Column.__or__, [F.contains(words, F.lit(x)) for x in own], F.lit(False)), name) for name, own in signatures]
         return F.filter(F.array(*held), lambda x: x.isNotNull())
 
-    return F.get(F.transform(F.array(letters_and_digits(c)), lambda words: found(words)), F.lit(0))
+    return F.get(F.transform(F.array(words), lambda words: found(words)), F.lit(0))
 
 
 def id_token(c: Column) -> Column:

@@ -35,24 +35,25 @@ class Family:
     signatures: tuple[str, ...]
 
 
-def _families(c: Column, families: list[Family]) -> Column:
-    return C.families(F.coalesce(c, F.lit("")), [(f.name, list(f.signatures)) for f in families])
+def _words(form: Column) -> Column:
+    """Bare words of folded text."""
+    return F.trim(F.regexp_replace(form, " [^a-z0-9]+|[^a-z0-9 ][^a-z0-9]*", " "))
 
 
-def _only(found: Column) -> Column:
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+def _family(words: Column, families: list[Family]) -> Column:
+    """The name of the only document that bare words name, or null."""
+    return C.only(C.families_of(words, [(f.name, list(f.signatures)) for f in families]))
 
 
 def family(c: Column, families: list[Family]) -> Column:
     """The name of the only document that a citation names, or null."""
-    return _only(_families(c, families))
+    return _family(_words(fold(F.coalesce(c, F.lit("")))), families)
 
 
 def _label(name: Column, families: list[Family]) -> Column:
-    out = F.lit(None).cast("string")
-    for f in families:
-        out = F.when(name == f.name, f.label).otherwise(out)
-    return out
+    if not families:
+        return F.lit(None).cast("string")
+    return F.create_map(*[F.lit(x) for f in families for x in (f.name, f.label)])[name]
 
 
 def _cited(label: Column, article: Column, clause: Column | None = None, point: Column | None = None) -> Column:
@@ -73,12 +74,14 @@ def atoms(fields: DataFrame, families: list[Family]) -> DataFrame:
 
     Null and empty fields and fragments give none. Fields with equal places are taken in the order of their texts.
     """
-    parts = F.transform(F.split(strip("text"), r"\s*;\s*"), strip)
-    rows = fields.where("text != ''").select("case_id", F.struct("field", "text").alias("at"), _only(_families(F.col("text"), families)).alias("default"), F.posexplode(parts).alias("i", "part")).where("part != ''")
-    own = _only(_families(F.col("part"), families))
-    points = F.flatten(F.transform(C.all_of(fold(F.col("part")), POINTS), lambda v: F.split(v, C.LIST)))
-    bare = C.letters_and_digits(F.col("part"))
-    rows = rows.select("case_id", "at", "i", "part", _label(F.coalesce(own, F.col("default")), families).alias("label"), _values(bare, ARTICLE).alias("a"), _values(bare, CLAUSE).alias("c"), F.array_distinct(points).alias("p"))
+    # A field is folded once; its folded text has the same parts.
+    texts = fields.where("text != ''").withColumn("folded", fold(F.col("text"))).withColumn("default", _family(_words(F.col("folded")), families))
+    parts = F.arrays_zip(F.transform(F.split(strip("text"), r"\s*;\s*"), strip).alias("part"), F.split("folded", r"\s*;\s*").alias("folded"))
+    rows = texts.select("case_id", F.struct("field", "text").alias("at"), "default", F.posexplode(parts).alias("i", "each"))
+    rows = rows.select("case_id", "at", "default", "i", "each.part", "each.folded").where("part != ''").withColumn("bare", _words(F.col("folded")))
+    own = _family(F.col("bare"), families)
+    points = F.flatten(F.transform(C.all_of(F.col("folded"), POINTS), lambda v: F.split(v, C.LIST)))
+    rows = rows.select("case_id", "at", "i", "part", _label(F.coalesce(own, F.col("default")), families).alias("label"), _values(F.col("bare"), ARTICLE).alias("a"), _values(F.col("bare"), CLAUSE).alias("c"), F.array_distinct(points).alias("p"))
     label, first, sole = F.col("label"), F.get("a", F.lit(0)), F.get("c", F.lit(0))
     n_a, n_c, n_p = (F.size(x) for x in "acp")
     unclear = (n_a == 0) | ((n_a > 1) & (n_c + n_p > 0)) | ((n_c > 1) & (n_p > 0))
@@ -96,21 +99,22 @@ def atoms(fields: DataFrame, families: list[Family]) -> DataFrame:
 
 def in_scope(name: Column, allowed: list[str] | None) -> Column:
     """Whether a citation of a document (null: of none that is known) counts. Without a scope, all do."""
-    return name.isNull() | name.isin(*allowed) if allowed else F.lit(True)
+    return F.coalesce(name.isin(*allowed), F.lit(True)) if allowed else F.lit(True)
 
 
 def scopes(cases: DataFrame, expected: DataFrame, families: list[Family], allowed: list[str] | None = None) -> DataFrame:
     """case_id, n_in, n_out, scope: no_gold_citation, in_scope, out_of_scope or mixed_scope, of cases (case_id) and expected (case_id, citation)."""
-    inside = in_scope(family(F.col("citation"), families), allowed)
-    n = expected.groupBy("case_id").agg(F.count_if(inside).alias("n_in"), F.count_if(~inside).alias("n_out"))
+    inside = F.col("inside")
+    n = expected.select("case_id", in_scope(family(F.col("citation"), families), allowed).alias("inside")).groupBy("case_id").agg(F.count_if(inside).alias("n_in"), F.count_if(~inside).alias("n_out"))
     both = cases.select("case_id").distinct().join(n, "case_id", "left").fillna(0, ["n_in", "n_out"])
     none_in, none_out = F.col("n_in") == 0, F.col("n_out") == 0
     return both.withColumn("scope", F.when(none_in & none_out, "no_gold_citation").when(none_out, "in_scope").when(none_in, "out_of_scope").otherwise("mixed_scope"))
 
 
 def _described(rows: DataFrame, families: list[Family], documents: C.Documents) -> DataFrame:
-    cite = F.struct(C.citation_form(F.col("citation")).alias("form"), family(F.col("citation"), families).alias("family"), C.parse(F.col("citation"), documents).alias("parts"))
-    return rows.withColumn("cite", cite)
+    form = F.col("__form")
+    cite = F.struct(form.alias("form"), _family(_words(form), families).alias("family"), C.parse_form(form, documents).alias("parts"))
+    return rows.withColumn("__form", C.citation_form(F.col("citation"))).withColumn("cite", cite).drop("__form")
 
 
 def covers(found: Column, expected: Column, mode: str = "containment") -> Column:

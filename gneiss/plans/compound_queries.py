@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compound as P
-from ..sources.tables import settle, table
+from ..sources.tables import table
 
 #: Two documents, how they are cited, and what tells them.
 FAMILIES = [P.Family("bo_luat_2019", "Bộ luật Lao động 2019", ("bo luat lao dong 2019", "45 2019 qh14")), P.Family("nghi_dinh_145", "Nghị định 145/2020/NĐ-CP", ("nghi dinh 145 2020 nd cp", "145 2020 nd cp"))]
@@ -28,7 +28,8 @@ def _said() -> str:
 
 
 def _fragments(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(_FRAGMENTS.format(s="STRING", lineitem="{lineitem}"), lineitem=table(spark, d, "lineitem"))
+    lines = table(spark, d, "lineitem").repartition("l_orderkey")  # a case's rows stay together from here on
+    return spark.sql(_FRAGMENTS.format(s="STRING", lineitem="{lineitem}"), lineitem=lines)
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +38,7 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _atoms(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("line", F.expr(_said()).alias("said"))))
+    parts = F.sort_array(F.collect_list(F.struct("line", F.expr(_said()).alias("said"))))
     fields = _fragments(spark, d).groupBy("case_id", "field").agg(F.array_join(F.transform(parts, lambda x: x["said"]), " ; ").alias("text"))
     return P.atoms(fields, FAMILIES)
 
@@ -54,7 +55,7 @@ def citation_scopes(spark: SparkSession, d: str) -> DataFrame:
 def _scores(spark: SparkSession, d: str, allowed: list[str] | None, mode: str) -> DataFrame:
     seen = F.expr("'Điều ' || a || CASE WHEN s % 4 = 0 THEN ' khoản ' || c ELSE '' END || CASE WHEN s % 6 = 0 THEN '' ELSE " + _LABELLED.format(x="own") + " END")
     observed = _fragments(spark, d).where("s % 2 = 0").select("case_id", F.col("line").alias("rank"), seen.alias("citation"))
-    return P.scores(_cases(spark, d), settle(_atoms(spark, d), "atoms"), observed, FAMILIES, DOCUMENTS, allowed=allowed, mode=mode, k=3)
+    return P.scores(_cases(spark, d), _atoms(spark, d), observed, FAMILIES, DOCUMENTS, allowed=allowed, mode=mode, k=3)
 
 
 def compound_scores(spark: SparkSession, d: str) -> DataFrame:
