@@ -125,3 +125,14 @@ def test_chunks_against_a_loop(spark, sf):
             else:
                 chunks.append(unit)
         assert [got.get(r["doc_id"], {}).get(n) for n in range(len(chunks))] == [len(c) for c in chunks]
+
+
+def test_the_last_hop_builds_no_arrays(spark, sf):
+    from gneiss.operators import graph
+    from gneiss.registry import QUERIES
+
+    plan = QUERIES["expand_taxonomy_4hop"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_append") < 4 and "array_join" not in plan
+    edges = spark.createDataFrame([("a", "b", "x", None), ("b", "c", "y", 0.9), ("b", "a", "y", 1.0)], "src string, dst string, kind string, confidence double")
+    rows = graph.expand(spark.createDataFrame([("a",)], "seed string"), edges, [[(["x"], False), (["y"], False)]]).collect()
+    assert [(r["trail"], r["path"], r["kinds"], r["nodes"]) for r in rows] == [("x>y", "a>b>c", ["x", "y"], ["a", "b", "c"])]
